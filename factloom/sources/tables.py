@@ -5,12 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parents[1]
+    if not root.is_dir():  # already imported from an archive that was shipped
+        return
+    path = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(path))
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of ``folder``."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
