@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.groups import connected_groups
+from factloom.llm.neighbours import nearest_neighbours, parse_vectors
+from factloom.llm.packing import pack_documents
+from factloom.llm.tokens import encode_corpus, token_counts
 from factloom.sources.tables import read_table
 
 
@@ -19,8 +22,34 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(pairs).select(F.col("id").alias("observation_id"), "group_id")
 
 
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar other rows of every row of entities and of concepts with a usable vector."""
+    found = []
+    for name in ("entities", "concepts"):
+        vectors = parse_vectors(read_table(spark, folder, name), "embedding_json", 128, ["id"])
+        vectors = vectors.where("id is not null").dropDuplicates(["id"])
+        found.append(nearest_neighbours(vectors, 128, 5).withColumn("of_table", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of which at least one is among the five most similar rows of the other."""
+    pairs = p6_neighbours(spark, folder)
+    return pairs.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token ids."""
+    return encode_corpus(read_table(spark, folder, "documents"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with tokens in containers of 2,048 tokens."""
+    return pack_documents(token_counts(read_table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p6_neighbours, p6_found, p7_ids, p8_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
