@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,19 +182,26 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
         ]
     )
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                part = pdf.iloc[lo : lo + 2048]
-                v = np.array(part["vector"].tolist(), np.float32)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
                 s = v @ c.T
                 near = np.argpartition(-s, wanted - 1, axis=1)[:, :wanted].astype(np.int32)
-                yield pd.DataFrame(
-                    {"id": part["id"], "raw": [x.tobytes() for x in v], "home": s.argmax(axis=1).astype(np.int32), "lists": list(near)}
+                ends = np.arange(0, near.size + 1, wanted, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        pa.array([x.tobytes() for x in v], pa.binary()),
+                        pa.array(s.argmax(axis=1).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel())),
+                    ],
+                    names=["id", "raw", "home", "lists"],
                 )
 
-    cells, _ = scratch.cut(grouped.select("id", "vector").mapInPandas(assign, placed))
+    cells, _ = scratch.cut(grouped.select("id", "vector").mapInArrow(assign, placed))
     # A list's stored rows and its queries fall into blocks of bounded size; a row is repeated for each
     # block of the other side.  Nearly all lists have one block of either.
     n_lists = len(centres)
@@ -222,18 +230,21 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
         [T.StructField("id", id_type), T.StructField("neighbour", id_type), T.StructField("similarity", T.DoubleType())]
     )
 
-    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(-1, dim)
-        ids, is_stored = pdf["id"].to_numpy(), pdf["stored"].to_numpy()
-        rows, row_ids, q, q_ids = v[is_stored], ids[is_stored], v[~is_stored], ids[~is_stored]
-        if not len(rows) or not len(q):
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        place = {x: n for n, x in enumerate(row_ids)}
-        same = np.array([place.get(x, -1) for x in q_ids], np.int64)
-        a, b, s = best_in_list(rows, q, same, shared.value[key[0]], turn, k)
-        return pd.DataFrame({"id": q_ids[a], "neighbour": row_ids[b], "similarity": s})
-
-    near = stored.union(query).groupBy("list", "s", "q").applyInPandas(answer, found)
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        v = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float32).reshape(-1, dim)
+        is_stored = table.column("stored").to_numpy()
+        at, asks = np.flatnonzero(is_stored), np.flatnonzero(~is_stored)
+        ids = table.column("id").to_pylist()
+        place = {ids[n]: k for k, n in enumerate(at.tolist())}
+        same = np.array([place.get(ids[n], -1) for n in asks.tolist()], np.int64)
+        a, b, s = best_in_list(v[at], v[asks], same, shared.value[key[0].as_py()], turn, k) if len(at) and len(asks) else [np.empty(0, int)] * 3
+        column = table.column("id")
+        return pa.table(
+            {"id": column.take(pa.array(asks[a])), "neighbour": column.take(pa.array(at[b])), "similarity": pa.array(s, pa.float64())}
+        )
+
+    near = stored.union(query).groupBy("list", "s", "q").applyInArrow(answer, found)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     top = lambda df: df.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
     near = top(near)
