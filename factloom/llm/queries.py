@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from factloom.llm.groups import connected_groups
 from factloom.llm.neighbours import nearest_neighbours, parse_vectors
 from factloom.llm.packing import pack_documents
+from factloom.llm.quality import text_quality
+from factloom.llm.splitting import split_batches, split_chunks
 from factloom.llm.tokens import encode_corpus, token_counts
 from factloom.sources.tables import read_table
 
@@ -22,6 +24,23 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(pairs).select(F.col("id").alias("observation_id"), "group_id")
 
 
+def p2_chunk_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the chunks over 1,500 characters."""
+    return split_chunks(read_table(spark, folder, "chunks"))
+
+
+def p2_batch_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the batches over 15,000 characters."""
+    return split_batches(read_table(spark, folder, "llm_batches"), read_table(spark, folder, "chunks"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that come out in pieces."""
+    chunks = p2_chunk_pieces(spark, folder).select(F.lit("chunk").alias("item_kind"), "item_id").distinct()
+    batches = p2_batch_pieces(spark, folder).select(F.lit("batch").alias("item_kind"), "item_id").distinct()
+    return chunks.union(batches)
+
+
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar other rows of every row of entities and of concepts with a usable vector."""
     found = []
@@ -48,8 +67,18 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(token_counts(read_table(spark, folder, "documents")))
 
 
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's statistics and verdict."""
+    return text_quality(read_table(spark, folder, "documents"), read_table(spark, folder, "common_words"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text is not blank and not prose."""
+    return p9_quality(spark, folder).where("not is_prose").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p6_neighbours, p6_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p2_chunk_pieces, p2_batch_pieces, p2_found, p6_neighbours, p6_found, p7_ids, p8_containers, p9_quality, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
