@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.groups import connected_groups
+from factloom.llm.names import link_names, variant_pairs
 from factloom.llm.neighbours import nearest_neighbours, parse_vectors
 from factloom.llm.packing import pack_documents
 from factloom.llm.quality import text_quality
@@ -41,6 +42,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.union(batches)
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entity with the group of rows that name the same."""
+    return link_names(read_table(spark, folder, "entities"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of entities that name the same company, body, fund or person."""
+    return variant_pairs(read_table(spark, folder, "entities"))
+
+
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar other rows of every row of entities and of concepts with a usable vector."""
     found = []
@@ -78,7 +89,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_chunk_pieces, p2_batch_pieces, p2_found, p6_neighbours, p6_found, p7_ids, p8_containers, p9_quality, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_chunk_pieces, p2_batch_pieces, p2_found, p3_groups, p3_found, p6_neighbours, p6_found, p7_ids, p8_containers, p9_quality, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
