@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.groups import connected_groups
+from factloom.llm.lookup import map_values
 from factloom.llm.names import link_names, variant_pairs
 from factloom.llm.neighbours import nearest_neighbours, parse_vectors
 from factloom.llm.packing import pack_documents
@@ -52,6 +53,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return variant_pairs(read_table(spark, folder, "entities"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The concept each freely typed concept_name means, or unmatched."""
+    found = map_values(read_table(spark, folder, "extracted_observations"), read_table(spark, folder, "concepts"))
+    return found.select("candidate_id", F.col("entry").alias("concept_id"))
+
+
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar other rows of every row of entities and of concepts with a usable vector."""
     found = []
@@ -89,7 +96,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_chunk_pieces, p2_batch_pieces, p2_found, p3_groups, p3_found, p6_neighbours, p6_found, p7_ids, p8_containers, p9_quality, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_chunk_pieces, p2_batch_pieces, p2_found, p3_groups, p3_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_containers, p9_quality, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
