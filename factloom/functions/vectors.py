@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import norm
+from factloom.functions.text import let, norm
 
 DIM = 128
 
@@ -20,16 +20,14 @@ def ngram_vector(text: Column) -> Column:
     """128 counts of hashed words and trigrams, scaled to length 1; zeros for an empty or null text."""
     plain = F.regexp_replace(norm(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
     words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    grams = F.flatten(
-        F.transform(
-            F.filter(words, lambda w: F.length(w) >= 3),
-            lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, F.lit(3))),
-        )
-    )
-    buckets = F.transform(F.concat(words, grams), _bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
+    trigrams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, F.lit(3)))
+    tokens = let(words, lambda ws: F.concat(ws, F.flatten(F.transform(F.filter(ws, lambda w: F.length(w) >= 3), trigrams))))
+    places = F.sequence(F.lit(0), F.lit(DIM - 1))
+    count = lambda bs: F.transform(places, lambda p: F.size(F.filter(bs, lambda x: x == p)).cast("double"))
+    counts = let(F.transform(tokens, _bucket), count)
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda c: let(length(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c))
+    return let(counts, scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
