@@ -100,4 +100,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    blank = "' ' || chr(9) || chr(10) || chr(13)"
+    usable = """SELECT id, TRY_CAST(embedding_json AS DOUBLE[]) AS v FROM {} WHERE len(v) = 128
+        AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"""
+    near = """SELECT a.id AS a, b.id AS b FROM ({0}) a JOIN ({0}) b ON a.id <> b.id
+        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 5"""
+    both = " UNION ALL ".join(near.format(usable.format(t)) for t in ("entities", "concepts"))
+    return {
+        "p1_found": """WITH RECURSIVE m AS (SELECT observation_a AS a, observation_b AS b FROM relationships
+              WHERE regexp_replace(lower(relationship_type), '^\\s+|\\s+$', '', 'g') = 'corroborated' AND observation_a <> observation_b),
+            e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+            r(a, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON r.a = e.a WHERE r.g < e.b)
+            SELECT a AS observation_id, min(g) AS group_id FROM (SELECT a, g FROM r UNION SELECT a, a FROM e) GROUP BY a""",
+        "p2_found": f"""WITH l AS (SELECT id, max(length(trim(text, {blank}))) AS n FROM chunks WHERE id IS NOT NULL GROUP BY id),
+            b AS (SELECT batch_id, unnest(chunk_ids) AS id FROM (SELECT batch_id, max(chunk_ids) AS chunk_ids FROM llm_batches WHERE batch_id IS NOT NULL GROUP BY 1))
+            SELECT 'chunk' AS item_kind, id AS item_id FROM l WHERE n > 1500
+            UNION ALL SELECT 'batch', batch_id FROM b LEFT JOIN l USING (id) GROUP BY batch_id HAVING sum(coalesce(n, 0)) > 15000""",
+        "p6_found": f"SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM ({both})",
+    }
