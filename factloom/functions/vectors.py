@@ -37,5 +37,6 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """In [-1, 1]; 0 for an empty, null or zero vector, or for different lengths."""
     lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = F.greatest(F.least(dot(a, b) / F.when(lengths > 0, lengths), F.lit(1.0)), F.lit(-1.0))
+    clamp = lambda x: F.when(x > 1, 1.0).when(x < -1, -1.0).otherwise(x)  # noqa: E731  (least and greatest skip nulls)
+    value = let(dot(a, b) / F.when(lengths > 0, lengths), clamp)
     return F.coalesce(F.when(F.size(a) == F.size(b), value), F.lit(0.0))

@@ -100,7 +100,8 @@ def normalize_quantities(obs: DataFrame, catalog: DataFrame) -> DataFrame:
     fits = fits.groupBy("signature").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("off", F.lit(float("inf"))).alias("off"), "n"))).alias("fits")
     )
-    unique = F.coalesce((F.col("fits")[1]["off"] - F.col("fits")[0]["off"]) > 1e-6, F.lit(False))
+    best, second = F.col("fits")[0]["off"], F.col("fits")[1]["off"]
+    unique = F.coalesce((best < float("inf")) & (second - best > 1e-6), F.lit(False))
     chosen = unclear.join(fits, "signature").withColumn("o", F.expr("options[fits[0].n]"))
     return clear.union(chosen.select(*columns(F.col("o"), unique)))
 
