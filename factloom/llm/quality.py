@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,6 +111,7 @@ class Judge:
     def __init__(self, words: dict[str, frozenset[str]]) -> None:
         self.words = words
         self.all = frozenset().union(*words.values()) if words else frozenset()
+        self.scrambled = lru_cache(maxsize=100_000)(self._scrambled)
         self.letters = frozenset("".join(sorted(w)) for w in self.all if len(w) > 1)
 
     def common(self, words: list[str]) -> int:
@@ -128,13 +130,17 @@ class Judge:
             return False
         if item and (not _STOP.search(unit) or _LEADER.search(unit) or _table_row(unit)):
             return False
-        damaged = sum(1 for t in tokens if _DAMAGE.search(t))
-        if damaged > DAMAGED * len(tokens):
-            return False
+        if _DAMAGE.search(unit):  # damage never reaches over white space, so most units need no look at each token
+            damaged = sum(1 for t in tokens if _DAMAGE.search(t))
+            if damaged > DAMAGED * len(tokens):
+                return False
         if self.common(words) < COMMON * len(words):
             return False
-        scrambled = sum(1 for w in words if w not in self.all and "".join(sorted(w)) in self.letters)
-        return scrambled < max(2, SCRAMBLED * len(words))
+        return sum(map(self.scrambled, words)) < max(2, SCRAMBLED * len(words))
+
+    def _scrambled(self, word: str) -> bool:
+        """Not a common word, but one with its letters in disorder."""
+        return word not in self.all and "".join(sorted(word)) in self.letters
 
     def __call__(self, text: str) -> dict:
         words = _WORD.findall(text.lower())
@@ -142,7 +148,8 @@ class Judge:
         lines = [x.strip() for x in text.splitlines() if x.strip()]
         paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text.replace("\r\n", "\n")) if x.strip()]
         grams = Counter(zip(words, words[1:], words[2:], strict=False))
-        top, times = max(grams.items(), key=lambda x: (x[1] * sum(map(len, x[0])), x[0]), default=((), 0))
+        repeated = [(n * sum(map(len, g)), g) for g, n in grams.items() if n > 1]
+        covered = max(repeated, default=(0, ()))[0]
         prose = 0
         seen: set[str] = set()
         for unit, item in units(text):
@@ -158,7 +165,7 @@ class Judge:
             "common_words": self.common(words) / count if count else None,
             "duplicate_lines": 1 - len(set(lines)) / len(lines) if lines else None,
             "duplicate_paragraphs": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else None,
-            "top_gram_share": min(1.0, times * sum(map(len, top)) / solid) if times > 1 else 0.0,
+            "top_gram_share": min(1.0, covered / solid),
             "prose_share": min(1.0, prose / solid) if text.strip() else None,
             "is_prose": prose >= 0.5 * solid if text.strip() else None,
         }
