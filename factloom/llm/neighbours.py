@@ -166,9 +166,10 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
     )
     grouped, _ = scratch.cut(grouped)
     total = grouped.count()
-    sample = grouped.orderBy("h1", "h2").limit(SAMPLE).select("vector").toPandas()["vector"]
+    sample = grouped.orderBy("h1", "h2").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
+    sample = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     lists = int(min(max(LISTS_PER_ROOT * np.sqrt(total), 1), SAMPLE // 4))
-    centres = fit_centres(np.array(sample.tolist(), np.float32).reshape(-1, dim), lists) if total else np.zeros((1, dim), np.float32)
+    centres = fit_centres(sample.astype(np.float32), lists) if total else np.zeros((1, dim), np.float32)
     del sample
     shared = spark.sparkContext.broadcast(centres)
     turn = rotation(dim)
