@@ -42,9 +42,16 @@ _STOP = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()%/&-]")
 _DAMAGE = re.compile(r"[^\W_][{}|\\^~¦¬§<>=#@*]|[{}|\\^~¦¬§<>=#@*][^\W_]|[ÃÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸÂ]|[ÃÂ]{2}|�|[^\W\d_]\d+[^\W\d_]")
 
+#: Cheap signs without which there is no damage.
+_SIGN, _DIGIT = re.compile(r"[{}|\\^~¦¬§<>=#@*ÃÂ\ufffd]"), re.compile(r"\d[^\W\d_]")
+
+
+def _leader(line: str) -> bool:
+    return line.count(".") >= 5 and bool(_LEADER.search(line))
+
 
 def _table_row(line: str) -> bool:
-    if len(_GAPS.findall(line)) >= 2:
+    if ("   " in line or "\t" in line or "|" in line) and len(_GAPS.findall(line)) >= 2:
         return True
     if _STOP.search(line) and len(line) > 120:
         return False
@@ -93,7 +100,7 @@ def units(text: str) -> Iterator[tuple[str, bool]]:
             # a lone figure or initial at the start of a wrapped line is no mark
             after = _MARK.sub("", bare, count=1)[:1]
             marked = after.isupper() and bare.lstrip()[:1] in "-–—*•·▪◦‣§>+●○■□[("
-        if not bare.strip() or marked or _LEADER.search(bare) or bare != line or _table_row(bare):
+        if not bare.strip() or marked or _leader(bare) or bare != line or _table_row(bare):
             if run:
                 yield from _joined(run)
                 run = []
@@ -128,9 +135,9 @@ class Judge:
         tokens = unit.split()
         if len(words) < 0.5 * len(tokens):
             return False
-        if item and (not _STOP.search(unit) or _LEADER.search(unit) or _table_row(unit)):
+        if item and (not _STOP.search(unit) or _leader(unit) or _table_row(unit)):
             return False
-        if _DAMAGE.search(unit):  # damage never reaches over white space, so most units need no look at each token
+        if _SIGN.search(unit) or _DIGIT.search(unit):  # damage never reaches over white space, so most units need no look at each token
             damaged = sum(1 for t in tokens if _DAMAGE.search(t))
             if damaged > DAMAGED * len(tokens):
                 return False
