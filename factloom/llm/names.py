@@ -32,8 +32,9 @@ from factloom.sources.tables import Scratch
 
 #: Length of the grams of rare words.
 Q = 4
-#: A word in more than this share of the rows, and in more than so many rows, is a class word.
-CLASS_SHARE, CLASS_ROWS = 0.004, 50
+#: A word in more than this share of the rows, and in more than so many rows, is a class word if the words beside
+#: it in names of companies and offices are as varied as at least so many equally frequent ones (a name isn't).
+CLASS_SHARE, CLASS_ROWS, CLASS_COMPANY = 0.004, 50, 20
 #: Least soft weighted token similarity of two forms of one entity.
 SIMILAR = 0.75
 
@@ -141,9 +142,13 @@ def aliases_of(text: str | None) -> list[str]:
 
 
 class Reader:
-    """Reads spellings into forms.  ``common``: further class words, found by their frequency."""
+    """Reads spellings into forms.  ``common``: further class words, found by their frequency.
+
+    A spelling that keeps no rare word beside them, or is a person's, is read without them.
+    """
 
     def __init__(self, common: frozenset[str] = frozenset()) -> None:
+        self.plain = Reader() if common else None
         self.classes = CLASS_WORDS | {w for w in common if w not in LEGAL | TITLES | FILLERS and w not in GIVEN and w not in NICKNAMES and w not in SHORT_FORMS}
         self.offices: dict[str, frozenset[str]] = {}
         for phrase in OFFICES.replace("\n", " ").split(";"):
@@ -202,6 +207,10 @@ class Reader:
 
     def __call__(self, spelling: str) -> Form | None:
         """None if the spelling identifies nobody: nothing rare in it, or a general phrase, or bare initials."""
+        found = self._read(spelling)
+        return self.plain(spelling) if found is None and self.plain else found
+
+    def _read(self, spelling: str) -> Form | None:
         s = fold(spelling)
         s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
         s = s.lower().replace("&", " ")
@@ -249,6 +258,8 @@ class Reader:
             rare = [x for x in rare if x not in ROMAN]
         if not classes and not legal:
             return self._person(rare)
+        if self.plain and not legal and not classes & CLASS_WORDS and all(len(x) == 1 or self.given(x) in GIVEN for x in rare):
+            return None  # a person whose surname is frequent
         if classes <= GENERAL and not any(len(x) > 3 for x in rare):
             return None
         if "trust" in classes and number:
@@ -357,6 +368,24 @@ def _spellings(rows: DataFrame) -> DataFrame:
     return rows.select("id", "canonical_name", "aliases_json").mapInArrow(run, schema)
 
 
+def _class_words(spelled: DataFrame, total: int) -> frozenset[str]:
+    """Words frequent beside many different others: at most words-a-row / CLASS_SHARE of them.  Persons' names don't count."""
+    lines = LEGAL | CLASS_WORDS | SHORT_FORMS.keys()
+    listed = lambda words: F.array(*map(F.lit, sorted(words)))
+    every = F.array_distinct(F.split(F.lower("spelling"), "[^a-z]+"))
+    named = spelled.select("id", every.alias("every")).where(F.arrays_overlap("every", listed(lines)))
+    named = named.select("id", F.array_except("every", listed(lines | TITLES | FILLERS | {""})).alias("words"))
+    words = named.select("id", F.explode("words").alias("w"), "words").where(F.length("w") > 3)
+    frequent = words.groupBy("w").agg(F.countDistinct("id").alias("n")).where(F.col("n") > max(CLASS_ROWS, CLASS_SHARE * total))
+    found = [r["w"] for r in frequent.select("w").collect()]
+    if not found:
+        return frozenset()
+    others = F.array_remove("words", F.col("w"))
+    beside = words.where(F.col("w").isin(found)).select("w", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array(F.lit("")))).alias("other"))
+    varied = beside.groupBy("w", "other").agg(F.count("*").cast("double").alias("n")).groupBy("w").agg((F.sum("n") ** 2 / F.sum(F.col("n") ** 2)).alias("v"))
+    return frozenset(r["w"] for r in varied.where(F.col("v") >= CLASS_COMPANY).select("w").collect())
+
+
 def link_names(entities: DataFrame) -> DataFrame:
     """(id, canonical_name, aliases_json) to (entity_id, group_id): a row per id that has a usable spelling.
 
@@ -369,10 +398,7 @@ def link_names(entities: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     spelled, _ = scratch.cut(_spellings(entities.where("id is not null")))
     total = entities.count()
-    # words so frequent that they are class words: at most words-a-row / CLASS_SHARE of them
-    words = spelled.select(F.explode(F.array_distinct(F.split(F.lower("spelling"), "[^a-z]+"))).alias("w")).where(F.length("w") > 3)
-    frequent = words.groupBy("w").count().where(F.col("count") > max(CLASS_ROWS, CLASS_SHARE * total)).select("w")
-    common = frozenset(r[0] for r in frequent.collect())
+    common = _class_words(spelled, total)
     form = T.StructType(
         [
             T.StructField("id", entities.schema["id"].dataType),

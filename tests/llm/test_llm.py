@@ -106,6 +106,20 @@ def test_name_pairs(spark):
     assert {tuple(r) for r in again.collect()} == want
 
 
+def test_frequent_names_stay_names(spark):
+    hot = [(f"h{n:02d}", ("Zephyr Steel Ltd", "Zephyr Steel", "Zephyr Stl. Company")[n % 3], None) for n in range(60)]
+    rows = hot + [(f"p{n:02d}", f"{g.title()} Kumarande", None) for n, g in enumerate(names.GIVEN)] + [("pz", "Z. Kumarande", None)]
+    rows += [(f"w{n:02d}", f"{a}{b}om{b}ul Widgets Ltd", None) for n, (a, b) in enumerate((a, b) for a in "BDGKLMNP" for b in "abefikor")]
+    df = spark.createDataFrame(rows, "id string, canonical_name string, aliases_json string")
+    got = {tuple(r) for r in names.variant_pairs(df).collect()}
+    ids = [r[0] for r in hot]
+    assert {(a, b) for a in ids for b in ids if a < b} <= got
+    assert (f"p{len(names.GIVEN) - 1:02d}", "pz") in got and not any(a[0] != b[0] for a, b in got)
+    assert names._class_words(df.select("id", F.col("canonical_name").alias("spelling")), len(rows)) == {"widgets"}
+    reader = names.Reader(frozenset(["widgets", "zephyr"]))
+    assert reader("Bomul Widgets Ltd").key == "widgets" and reader("Zephyr Widgets Steel").core == "zephyrwidgets"
+
+
 def test_aliases():
     assert names.aliases_of('["a", "b"]') == ["a", "b"] and names.aliases_of("['x y', 'z']") == ["x y", "z"] and names.aliases_of("a; b") == ["a", " b"]
     assert names.aliases_of(None) == names.aliases_of("") == names.aliases_of("[]") == []
