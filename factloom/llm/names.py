@@ -3,13 +3,13 @@
 Every spelling of a row (its name and its aliases) is read into a form: its class words (line of
 business, kind of office, with abbreviations and typing errors resolved), a series number, and its rare
 words.  Legal forms, titles and filler words say nothing of identity.  Forms that share class and number
-are joined on the q-grams of their rare words, rarest first and only as many as the similarity requires
-(prefix filter), and verified by a soft weighted token similarity in which rare tokens count more and a
-token may differ by typing errors, or stand as initial or short form.  Rows linked by their forms, directly
-or through others, name the same entity.
+are joined on what is left of their rare words after as many deletions as the similarity allows slips (of
+long words, on what is left of either end), and verified by a soft weighted token similarity in which rare
+tokens count more and a token may differ by typing errors, or stand as initial or short form.  Rows linked
+by their forms, directly or through others, name the same entity.
 
-No pair is made within a class except over a shared gram at nearly the same place; forms, not rows, are
-compared, so copies of a spelling cost nothing.
+No pair is made within a class except over a shared rest; forms, not rows, are compared, so copies of a
+spelling cost nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +31,7 @@ from factloom.llm.edits import edits
 from factloom.llm.groups import connected_groups
 from factloom.sources.tables import Scratch
 
-#: Length of the grams of rare words.
+#: Length of the grams by which the rarity of words is measured.
 Q = 4
 #: A word in more than this share of the rows, and in more than so many rows, is a class word if the words beside
 #: it in names of companies and offices are as varied as at least so many equally frequent ones (a name isn't).
@@ -294,6 +295,11 @@ class Reader:
         return Form(f"person {given[0]}", given, surname, False)
 
 
+def slips(size: int) -> int:
+    """Most typing errors of a word, by the length of the shorter spelling."""
+    return 0 if size < 4 else 1 if size < 7 else 2 if size < 12 else 3
+
+
 def same_word(a: str, b: str) -> float:
     """1 for equal words, less for what typing errors make of one, 0 for different words.
 
@@ -302,8 +308,7 @@ def same_word(a: str, b: str) -> float:
     if a == b:
         return 1.0
     size = min(len(a), len(b))
-    most = 0 if size < 4 else 1 if size < 7 else 2 if size < 12 else 3
-    found = edits(a, b, most)
+    found = edits(a, b, slips(size))
     if found is None:
         return 0.0
     subs = [p for k, p in found if k == "sub"]
@@ -346,10 +351,23 @@ def similarity(a: Form, b: Form, rarity: float) -> float:
     return (LEAD_WEIGHT * lead + rarity * last) / (LEAD_WEIGHT + rarity)
 
 
-def grams_of(word: str) -> list[tuple[str, int]]:
-    if len(word) <= Q:
-        return [(word, 0)]
-    return [(word[k : k + Q], k) for k in range(len(word) - Q + 1)]
+def rests(word: str) -> set[str]:
+    """Keys of a word: any two words within the slips of the shorter one have one in common.
+
+    Words that differ by k slips have in common what is left of each after at most k deletions.  With both of 12
+    letters or more, of three slips at most one touches the first five letters, or at most one the last five.
+    """
+    out = {word}
+    size = len(word)
+    if size < 14:  # a shorter word may have 11 letters and two slips
+        for k in range(1, min(slips(size), 2) + 1):
+            out.update("".join(c for n, c in enumerate(word) if n not in gone) for gone in combinations(range(size), k))
+    if size >= 12:
+        for sign, end in (("<", word[:6]), (">", word[:-7:-1])):
+            out.add(sign + end[:5])
+            out.update(sign + end[:n] + end[n + 1 :] for n in range(6))
+            out.update(sign + end[:n] + end[n + 1 : 5] for n in range(5))
+    return out
 
 
 def _spellings(rows: DataFrame) -> DataFrame:
@@ -432,29 +450,39 @@ def link_names(entities: DataFrame) -> DataFrame:
             )
         )
     )
-    sided = forms.select("form", "key", "first", "last", "short", F.explode(sides).alias("s")).select("form", "key", "first", "last", "short", "s.side", "s.word")
+    sided = forms.select("form", "key", "first", "last", "short", F.explode(sides).alias("s")).select("form", "key", "short", "s.side", "s.word")
     places = F.sequence(F.lit(0), F.greatest(F.length("word") - Q, F.lit(0)))
     grams = sided.select("*", F.explode(F.transform(places, lambda p: F.struct(p.alias("at"), F.substring("word", p + 1, F.lit(Q)).alias("gram")))).alias("g"))
-    grams, _ = scratch.cut(grams.select("form", "key", "first", "last", "short", "side", "word", "g.at", "g.gram"))
+    grams, _ = scratch.cut(grams.select("form", "side", "g.gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    # Prefix filter: two words that differ by at most two slips share all but ``lost`` grams (a slip spoils
-    # Q grams, a swap Q + 1), so they share one among the rarest of each.
-    slips = F.when(F.length("word") < 12, 1).otherwise(2)
-    prefix = F.least(F.length("word"), slips * (Q + 1) + 1)
-    rarest = Window.partitionBy("form", "side").orderBy("n", "gram", "at")
-    counted = grams.join(frequency, "gram")
     # a word is as rare as its grams are on average
-    bits = F.avg(F.log2(F.lit(float(max(total, 1))) / F.col("n"))).over(Window.partitionBy("form", "side"))
-    counted = counted.withColumns({"k": F.row_number().over(rarest), "rarity": F.greatest(bits, F.lit(1.0))})
-    ranked = counted.where(F.col("k") <= prefix).drop("k", "n")
-    ranked, _ = scratch.cut(ranked)
-    left = ranked.select("key", "side", "gram", "at", F.col("form").alias("form_a"), F.col("word").alias("word_a"), F.col("short").alias("short_a"), "rarity")
-    right = ranked.select("key", "side", "gram", F.col("at").alias("at_b"), F.col("form").alias("form_b"), F.col("word").alias("word_b"), F.col("short").alias("short_b"))
+    bits = F.avg(F.log2(F.lit(float(max(total, 1))) / F.col("n")))
+    rarity = grams.join(frequency, "gram").groupBy("form", "side").agg(F.greatest(bits, F.lit(1.0)).alias("rarity"))
+    rest = T.StructType([*(T.StructField(c, T.StringType()) for c in ("form", "key", "side", "word")), T.StructField("short", T.BooleanType()), T.StructField("rest", T.StringType())])
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):  # a word has up to 92 rests
+                part = batch.slice(start, 1000)
+                found = [(k, r) for k, w in enumerate(part.column("word").to_pylist()) for r in rests(w)]
+                at = pa.array([k for k, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array([r for _, r in found], pa.string())], names=rest.names)
+
+    # rests as hashes, for less to shuffle
+    left_over = sided.select("form", "key", "side", "word", "short").mapInArrow(leave, rest)
+    left_over = left_over.select(F.xxhash64("key", "side", "rest").alias("rest"), "form", "side", "word", "short", F.col("key").startswith("person").alias("person"))
+    left_over, _ = scratch.cut(left_over)
+    left = left_over.select("rest", "side", "person", F.col("form").alias("form_a"), F.col("word").alias("word_a"), F.col("short").alias("short_a"))
+    right = left_over.select("rest", "side", F.col("form").alias("form_b"), F.col("word").alias("word_b"), F.col("short").alias("short_b"))
     near = (
-        left.join(right, ["key", "side", "gram"])
-        .where("form_a < form_b and abs(at - at_b) <= 2 and abs(length(word_a) - length(word_b)) <= 3")
-        .where("side = 'F' or key like 'person%' or short_a or short_b")
-        .where(F.levenshtein("word_a", "word_b", 4) >= 0)
+        left.join(right, ["rest", "side"])
+        .where("form_a < form_b and abs(length(word_a) - length(word_b)) <= 3")
+        .where("side = 'F' or person or short_a or short_b")
+        .where("substring_index(form_a, '|', 1) = substring_index(form_b, '|', 1)")
+        .where(F.levenshtein("word_a", "word_b", 6) >= 0)  # a swap counts 2
+        .select("form_a", "form_b", "side")
+        .distinct()
+        .join(rarity.withColumnRenamed("form", "form_a"), ["form_a", "side"])
         .groupBy("form_a", "form_b")
         .agg(F.max("rarity").alias("rarity"))
     )

@@ -120,6 +120,20 @@ def test_frequent_names_stay_names(spark):
     assert reader("Bomul Widgets Ltd").key == "widgets" and reader("Zephyr Widgets Steel").core == "zephyrwidgets"
 
 
+def test_all_accepted_slips_are_candidates(spark):
+    r = random.Random(11)
+    for _ in range(6000):
+        a = b = "".join(r.choice("abcdefgh") for _ in range(r.choice([4, 5, 6, 7, 8, 11, 12, 13, 14, 15, 18])))
+        for _ in range(names.slips(len(a))):
+            k = r.randrange(len(b))
+            b = r.choice([b[:k] + b[k + 1 :], b[:k] + "q" + b[k:], b[:k] + "x" + b[k + 1 :], b[:k] + b[k + 1 : k + 2] + b[k] + b[k + 2 :]])
+        if names.same_word(a, b):
+            assert names.rests(a) & names.rests(b), (a, b)
+    twins = ["Zephyr Steel Ltd", "Zehpyr Steel Ltd", "Robert Mehta", "Robert Mehat", "Susan Gupta", "Susan Gutpa", "Vexmora Cement Ltd", "Vexnora Cement Ltd", "Dawn Okra", "Dawn Okar", "Lismes Kuvpobkos Bank", "Ilsmes Kuvopbkso Bank"]
+    df = spark.createDataFrame([(f"{n:02d}", t, None) for n, t in enumerate(twins)], "id string, canonical_name string, aliases_json string")
+    assert {tuple(x) for x in names.variant_pairs(df).collect()} == {(f"{n:02d}", f"{n + 1:02d}") for n in range(0, len(twins), 2)}
+
+
 def test_aliases():
     assert names.aliases_of('["a", "b"]') == ["a", "b"] and names.aliases_of("['x y', 'z']") == ["x y", "z"] and names.aliases_of("a; b") == ["a", " b"]
     assert names.aliases_of(None) == names.aliases_of("") == names.aliases_of("[]") == []
