@@ -47,6 +47,8 @@ TITLES = frozenset("dr prof professor mr mrs ms miss shri smt sri ca cs er adv s
 FILLERS = frozenset("the of and for in at by on to an de la".split())
 # Phrases that name nobody in particular.
 GENERAL = frozenset("company group board bank issuer authority management corporation fund trust entity firm promoter borrower".split())
+# Words that point at somebody named elsewhere.
+POINTERS = frozenset("our your their its his her this that these those such said any each all some other same".split())
 # Words for lines of business, kinds of offices and funds.
 CLASS_WORDS = frozenset(
     """agro agriculture airlines airports aluminium apparel automobiles aviation bank beverages board breweries broadcasting cables
@@ -107,8 +109,15 @@ NICKNAMES = {short: full for full, shorts in GIVEN.items() for short in shorts.s
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
 
 
+#: Ends the key of a form whose rare words are all too short for typing errors.
+EXACT = " ="
+
+
 class Form(NamedTuple):
-    """One spelling, read.  Companies and offices have class words; persons have the class "person"."""
+    """One spelling, read.  Companies and offices have class words; persons have the class "person".
+
+    Rare words under 4 letters ('TCS Limited') make a form that is compared with equal ones only.
+    """
 
     key: str  # class words and number; for persons "person" and the first initial
     first: str  # all but the last rare word; a person's given name, or its initial
@@ -261,8 +270,6 @@ class Reader:
             return self._person(rare)
         if self.plain and not legal and not classes & CLASS_WORDS and all(len(x) == 1 or self.given(x) in GIVEN for x in rare):
             return None  # a person whose surname is frequent
-        if classes <= GENERAL and not any(len(x) > 3 for x in rare):
-            return None
         if "trust" in classes and number:
             classes -= {"fund", "series"}
         kept = classes - OPTIONAL or classes
@@ -270,28 +277,25 @@ class Reader:
             kept = classes
         if "exports" in kept and "council" in kept:
             kept = kept - {"exports"} | {"export"}
-        if not rare or not any(len(x) >= 4 for x in rare):
-            return None
         key = " ".join(sorted(kept)) + (f" #{number}" if number else "")
+        if not any(len(x) >= 4 for x in rare):
+            core = "".join(rare)
+            return Form(key + EXACT, "", core, False) if len(core) > 1 and not POINTERS.issuperset(rare) else None
         last = rare[-1]
         first = "".join(rare[:-1])
         return Form(key, first, last, 0 < len(first) <= 3 and len(last) > 4)
 
     def _person(self, rare: list[str]) -> Form | None:
         long = [x for x in rare if len(x) > 1]
-        if not long or len(rare) < 2:
+        if not long or len(rare) < 2 or not POINTERS.isdisjoint(rare):
             return None
         if len(long) == 1:  # an initial and a surname, in either order
             surname = long[0]
             first = next(x for x in rare if len(x) == 1)
-            if len(surname) < 4:
-                return None
             return Form(f"person {first}", first, surname, True)
         given, surname = self.given(long[0]), long[-1]
         if given not in GIVEN and self.given(surname) in GIVEN:  # surname first
             given, surname = self.given(surname), long[0]
-        if len(surname) < 4:
-            return None
         return Form(f"person {given[0]}", given, surname, False)
 
 
@@ -450,7 +454,7 @@ def link_names(entities: DataFrame) -> DataFrame:
             )
         )
     )
-    sided = forms.select("form", "key", "first", "last", "short", F.explode(sides).alias("s")).select("form", "key", "short", "s.side", "s.word")
+    sided = forms.where(~F.col("key").endswith(EXACT)).select("form", "key", "first", "last", "short", F.explode(sides).alias("s")).select("form", "key", "short", "s.side", "s.word")
     places = F.sequence(F.lit(0), F.greatest(F.length("word") - Q, F.lit(0)))
     grams = sided.select("*", F.explode(F.transform(places, lambda p: F.struct(p.alias("at"), F.substring("word", p + 1, F.lit(Q)).alias("gram")))).alias("g"))
     grams, _ = scratch.cut(grams.select("form", "side", "g.gram"))

@@ -134,6 +134,14 @@ def test_all_accepted_slips_are_candidates(spark):
     assert {tuple(x) for x in names.variant_pairs(df).collect()} == {(f"{n:02d}", f"{n + 1:02d}") for n in range(0, len(twins), 2)}
 
 
+def test_short_names_match_exactly(spark):
+    same = [["TCS Limited", "TCS Ltd.", "T.C.S. Ltd"], ["ITC Ltd", "itc limited"], ["HCL Technologies Ltd", "HCL Tech. Ltd"], ["HLC Technologies Ltd"], ["Amit Rao", "Rao, Amit", "A. Rao"], ["Wei Li", "Wei Li"], ["Wei Lu"], ["UCO Bank", "UCO Bank"], ["L & T Ltd", "L&T Limited"]]
+    rows = [(f"{g:02d}-{n}", v, None) for g, x in enumerate(same) for n, v in enumerate(x)] + [(f"z{n}", v, None) for n, v in enumerate(["our Company", "our Company", "K. Ltd", "K. Ltd", "the Bank", "the Bank"])]
+    df = spark.createDataFrame(rows, "id string, canonical_name string, aliases_json string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[0][:2] == b[0][:2] and a[0][0] == "0"}
+    assert {tuple(r) for r in names.variant_pairs(df).collect()} == want
+
+
 def test_aliases():
     assert names.aliases_of('["a", "b"]') == ["a", "b"] and names.aliases_of("['x y', 'z']") == ["x y", "z"] and names.aliases_of("a; b") == ["a", " b"]
     assert names.aliases_of(None) == names.aliases_of("") == names.aliases_of("[]") == []
