@@ -5,7 +5,7 @@ across are joined).  A unit is running text if it is long enough, enough of its
 any one language, and few are damaged or scrambled; items of a list and rows of a table must moreover be long, whole
 sentences.  A document is prose if at least half of its characters (white space aside) lie in running
 text.  Repetition statistics - shares of duplicate lines and paragraphs, characters covered by the most
-frequent word n-grams - go with it; a paragraph that repeats over and over counts once.
+frequent word n-grams - go with it; a unit that repeats counts once, however short.
 """
 
 from __future__ import annotations
@@ -160,9 +160,9 @@ class Judge:
         prose = 0
         seen: set[str] = set()
         for unit, item in units(text):
-            if self.running(unit, item) and not (len(unit) > 200 and unit in seen):
+            if self.running(unit, item) and unit.strip() not in seen:
                 prose += len(unit) - sum(map(unit.count, " \t\n\r "))
-            seen.add(unit)
+            seen.add(unit.strip())
         count = len(words)
         return {
             "word_count": count,

@@ -327,6 +327,13 @@ def test_quality(spark):
     assert got["text_table"]["duplicate_lines"] == pytest.approx(8 / 9) and quality.text_quality(df.limit(0), words).count() == 0
 
 
+def test_repeated_short_units_count_once():
+    judge = quality.Judge({"en": frozenset("the of and to a in that it was for is by on not".split())})
+    line = "The report is for the board and not for the public."
+    assert judge(line)["is_prose"] and judge(PROSE + "\n\n" + line)["is_prose"]
+    assert judge("\n\n".join([line] * 300))["is_prose"] is False
+
+
 def test_queries_registered():
     found = queries.queries()
     assert {"p1_found", "p2_found", "p3_found", "p5_found", "p6_found", "p7_ids", "p8_containers", "p9_found"} <= set(found)
