@@ -167,7 +167,7 @@ class Dictionary:
         self.words = words
         self.filed: dict[str, list[str]] = {}
         for w in words:
-            for d in deletions(w, min(2, allowed(len(w)))):
+            for d in deletions(w, allowed(len(w))):
                 self.filed.setdefault(d, []).append(w)
         self.bones: dict[str, list[str]] = {}
         for w in sorted(words):
@@ -185,7 +185,7 @@ class Dictionary:
         out: dict[str, float] = {}
         if t in self.words:
             out[t] = 0.0
-        near = deletions(t, min(2, allowed(len(t)))) if len(t) <= self.longest + 2 else ()
+        near = deletions(t, allowed(len(t))) if len(t) <= self.longest + 3 else ()
         for w in {w for d in near for w in self.filed.get(d, ())}:
             most = allowed(max(len(t), len(w)))
             cost = slip_cost(t, w, most) if most else None

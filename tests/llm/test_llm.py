@@ -204,6 +204,13 @@ def test_symmetric_delete_finds_all_within_two_edits():
             assert w in d.candidates(lookup.Token(typo, False)), (w, typo)
 
 
+def test_long_words_are_found_with_three_slips():
+    d = lookup.Dictionary([("x", "industrialisation"), ("y", "telecommunications")], {})
+    for typo, entry in (("idnustrailisatoin", "x"), ("industralisatoinn", "x"), ("etlecommnuicatinos", "y"), ("tlecommunictionss", "y")):
+        assert lookup.slip_cost(typo, {"x": "industrialisation", "y": "telecommunications"}[entry], 3) is not None
+        assert d.candidates(lookup.Token(typo, False)), typo
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(6)
     centres = r.standard_normal((40, 32))
