@@ -394,7 +394,7 @@ def map_values(
     frequency: dict[str, int] = {}
     counted = T.StructType([T.StructField("entry", T.StringType()), T.StructField("n", T.LongType())])
     schema = T.StructType(
-        [T.StructField("_id", values.schema[id_col].dataType), T.StructField("entry", T.StringType()), T.StructField("cost", T.DoubleType())]
+        [T.StructField("_id", values.schema[id_col].dataType), T.StructField("entry", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("often", T.LongType())]
     )
     results: DataFrame | None = None
     for block in blocks:
@@ -425,14 +425,14 @@ def map_values(
                         batch.column("_id").cast(kind),
                         pa.array([f[0] if f else UNMATCHED for f in found], pa.string()),
                         pa.array([f[1] if f else None for f in found], pa.float64()),
+                        pa.array([frequency.get(f[0], 0) if f else 0 for f in found], pa.int64()),
                     ],
-                    names=["_id", "entry", "cost"],
+                    names=["_id", "entry", "cost", "often"],
                 )
 
         here = once.mapInArrow(find, schema)
         results = here if results is None else results.union(here)
     if len(blocks) > 1:
-        often = F.element_at(F.create_map(*[x for e, n in frequency.items() for x in (F.lit(e), F.lit(n))]), F.col("entry")) if 0 < len(frequency) <= 1000 else F.lit(0)
-        order = F.struct(F.coalesce("cost", F.lit(float("inf"))), -F.coalesce(often, F.lit(0)), "entry")
+        order = F.struct(F.coalesce("cost", F.lit(float("inf"))), -F.col("often"), "entry")
         results = results.groupBy("_id").agg(F.min_by(F.struct("entry", "cost"), order).alias("r")).select("_id", "r.*")
-    return results.withColumnRenamed("_id", id_col)
+    return results.select(F.col("_id").alias(id_col), "entry", "cost")

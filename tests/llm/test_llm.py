@@ -193,6 +193,14 @@ def test_lookup_in_blocks_equals_one_dictionary(spark, monkeypatch):
     assert {tuple(r) for r in lookup.map_values(typed, ref).select("candidate_id", "entry").collect()} == whole
 
 
+def test_ties_between_blocks_go_by_frequency_at_any_size(spark, monkeypatch):
+    ref = [(f"e{n:04d}", f"metric {n}x", None) for n in range(1100)] + [("a", "shared metric", None), ("z", "shared metric", '["zinc output"]')]
+    typed = [(n, f"metric {n}x") for n in range(1100)] + [(2000, "shared metric"), (2001, "zinc output")]
+    monkeypatch.setattr(lookup, "BLOCK_PHRASES", 600)
+    out = lookup.map_values(spark.createDataFrame(typed, "candidate_id long, concept_name string"), spark.createDataFrame(ref, "id string, canonical_name string, aliases_json string"))
+    assert {r["candidate_id"]: r["entry"] for r in out.where("candidate_id >= 2000").collect()} == {2000: "z", 2001: "z"}
+
+
 def test_symmetric_delete_finds_all_within_two_edits():
     words = sorted({w for v in CONCEPTS.values() for p in v for w in p.split() if len(w) >= 6 and w.isalpha()})
     d = lookup.Dictionary([("x", " ".join(words))], {})
