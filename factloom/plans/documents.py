@@ -94,7 +94,10 @@ def review_reasons(spark, folder):
 
 
 def resolve_tiers(spark, folder):
-    """Every typed concept name, resolved against the registry of concepts."""
+    """Every typed concept name, resolved against the registry of concepts.
+
+    As in the SQL only aliases that begin with [" are read; those in any other notation count as none.
+    """
     registry = read_table(spark, folder, "concepts").select("id", "canonical_name", F.from_json(F.when(F.col("aliases_json").startswith('["'), F.col("aliases_json")), "array<string>").alias("aliases"))
     return resolve_concepts(read_table(spark, folder, "extracted_observations").select(F.col("concept_name").alias("name")), registry)
 

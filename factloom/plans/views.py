@@ -157,7 +157,10 @@ def get_or_create_entities(spark, folder):
 
 
 def alias_union(spark, folder):
-    """Aliases of all rows of one kind of entity, distinct, with the number of rows that have each."""
+    """Aliases of entities, distinct, with the number of rows that have each.
+
+    As in the SQL only lists that begin with [" are read; aliases in any other notation count as none.
+    """
     e = read_table(spark, folder, "entities").where("aliases_json like '[\"%'")
     a = e.select("id", F.explode(F.array_distinct(F.from_json("aliases_json", "array<string>"))).alias("alias"))
     return a.groupBy("alias").agg(F.count("*").alias("n"))
