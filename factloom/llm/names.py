@@ -1,20 +1,28 @@
 """Variant spellings of names (problem 3).
 
-Every spelling of a row (its name and its aliases) is read into a form: its class words (line of
-business, kind of office, with abbreviations and typing errors resolved), a series number, and its rare
-words.  Legal forms, titles and filler words say nothing of identity.  Forms that share class and number
-are joined on what is left of their rare words after as many deletions as the similarity allows slips (of
-long words, on what is left of either end), and verified by a soft weighted token similarity in which rare
-tokens count more and a token may differ by typing errors, or stand as initial or short form.  Rows linked
-by their forms, directly or through others, name the same entity.
-
-No pair is made within a class except over a shared rest; forms, not rows, are compared, so copies of a
-spelling cost nothing.
+Every spelling of a row (its name and its aliases) becomes a form: its words without legal forms, titles and
+filler words, and its numbers.  What else there is to know of words is counted in the table itself
+(``Vocabulary``): which are common beside many others (lines of business, kinds of office, given names), which
+words rows use for one another (short forms), and which follow another as a matter of course (paper mills).
+
+Forms are joined on their rare words.  The grams of a word are what is left of it after as many deletions as
+the similarity allows slips (gapped q-grams: with contiguous ones, that many slips leave short words no gram
+at all).  Only rare words are filed, which is the prefix filter: the similarity of two forms without a common
+rare word can't reach SIMILAR.  Forms that have only common or very short words are filed under one of them
+with the initials of all.  Candidates are verified by a soft weighted token similarity, free of order, in which
+rare tokens count more and a token may match a mistyped, joined, shortened or initialled one.
+
+A link is weak if one of the two forms says less than the other: an initial, a short form of a rare word, a
+missing word.  Weak links join nothing by themselves: when the firm groups are known, a form that says less
+goes to the one group it fits, and to none if it fits several.
+
+Forms, not rows, are compared, so copies of a spelling cost nothing.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,13 +39,20 @@ from factloom.llm.edits import edits
 from factloom.llm.groups import connected_groups
 from factloom.sources.tables import Scratch
 
-#: Length of the grams by which the rarity of words is measured.
-Q = 4
-#: A word in more than this share of the rows, and in more than so many rows, is a class word if the words beside
-#: it in names of companies and offices are as varied as at least so many equally frequent ones (a name isn't).
-CLASS_SHARE, CLASS_ROWS, CLASS_COMPANY = 0.004, 50, 20
+#: A word is common if it is in more than this share of the forms and in more than so many, beside as many others.
+COMMON_SHARE, COMMON_FORMS = 0.0005, 20
+#: Rows that must use one word for another, as the only difference of two spellings, and the least share among all it is used for.
+SYNONYM_ROWS, SYNONYM_SHARE, SYNONYM_OF_ALL = 5, 0.5, 0.00005
+#: A word follows another as a matter of course from these shares of its own forms and of the other's.
+TAIL_OWN, TAIL_OTHER = 0.85, 0.3
 #: Least soft weighted token similarity of two forms of one entity.
 SIMILAR = 0.75
+#: Similarity of a short word with two slips, which counts beside a well matched rare word only.
+LOOSE = 0.65
+#: Weight of a single letter; a rare word has at least 1.
+INITIAL_WEIGHT = 0.25
+#: Weight of a word matched by its initial or start.
+SHORT_WEIGHT = 1.0
 
 # Legal forms, titles and filler words.
 LEGAL = frozenset(
@@ -49,46 +64,6 @@ FILLERS = frozenset("the of and for in at by on to an de la".split())
 GENERAL = frozenset("company group board bank issuer authority management corporation fund trust entity firm promoter borrower".split())
 # Words that point at somebody named elsewhere.
 POINTERS = frozenset("our your their its his her this that these those such said any each all some other same".split())
-# Words for lines of business, kinds of offices and funds.
-CLASS_WORDS = frozenset(
-    """agro agriculture airlines airports aluminium apparel automobiles aviation bank beverages board breweries broadcasting cables
-    capital cement ceramics chamber chemicals coal commerce commission commonwealth communications construction consulting council
-    credit customs dairy defence department development directorate education electricals electricity electronics energy engineering
-    entertainment export exports fertilisers finance financial fisheries foods footwear forestry foundries freight fund gas gems glass
-    health healthcare holdings horticulture hospitals hotels housing industries industrial infrastructure insurance investments irrigation
-    jewellery jute kingdom laboratories leasing leather logistics machinery marine media metals microcredit mills minerals mining ministry
-    motors municipal museum natural office oil packaging paints paper pension petroleum pharmaceuticals plantations plastics police port
-    power printing products projects properties publishing railways realty refineries reserve resources republic retail revenue roads
-    rubber science securities series shipping software solar sports state states statistics steel sugar systems tax tea technologies
-    telecommunications textiles tobacco tourism tools toys trading transport treasury trust tyres union university utilities warehousing
-    water waterways wines authority""".split()
-)
-# Short forms of such words.
-SHORT_FORMS = {
-    "arpts": "airports", "auth": "authority", "authy": "authority", "bd": "board", "bk": "bank", "brew": "breweries", "cbl": "cables",
-    "cbls": "cables", "cem": "cement", "ceram": "ceramics", "chem": "chemicals", "chems": "chemicals", "chmbr": "chamber", "chbr": "chamber",
-    "comm": "commerce", "commn": "commission", "constr": "construction", "dept": "department", "deptt": "department", "dev": "development",
-    "devt": "development", "dte": "directorate", "elec": "electricity", "elect": "electricity", "elctrn": "electronics", "electron": "electronics",
-    "engg": "engineering", "engrg": "engineering", "eng": "engineering", "exp": "exports", "exps": "exports", "fd": "fund", "fds": "foods",
-    "fert": "fertilisers", "ferts": "fertilisers", "fertilizers": "fertilisers", "fin": "finance", "fish": "fisheries", "govt": "government",
-    "hldgs": "holdings", "hldg": "holdings", "hosp": "hospitals", "hosps": "hospitals", "hsg": "housing", "inds": "industries",
-    "ind": "industries", "infra": "infrastructure", "ins": "insurance", "insce": "insurance", "intl": "international", "invts": "investments",
-    "logis": "logistics", "log": "logistics", "med": "media", "mfg": "manufacturing", "mfi": "microcredit", "microfinance": "microcredit",
-    "min": "ministry", "mng": "mining", "mtrs": "motors", "mun": "municipal", "munic": "municipal", "pens": "pension", "petro": "petroleum",
-    "petrol": "petroleum", "pharma": "pharmaceuticals", "pharm": "pharmaceuticals", "plntns": "plantations", "plant": "plantations",
-    "prod": "products", "prods": "products", "props": "properties", "prop": "properties", "pwr": "power", "res": "reserve", "rlys": "railways",
-    "rly": "railways", "rtl": "retail", "sec": "securities", "secs": "securities", "ser": "series", "shpg": "shipping", "shpng": "shipping",
-    "stat": "statistics", "stats": "statistics", "stl": "steel", "tech": "technologies", "techs": "technologies", "telecom": "telecommunications",
-    "telecoms": "telecommunications", "tex": "textiles", "text": "textiles", "tr": "trust", "transp": "transport", "transpt": "transport",
-    "txtls": "textiles", "tyr": "tyres", "whsg": "warehousing", "wtr": "water", "cncl": "council", "counc": "council", "off": "office",
-}
-# Kinds of offices that go by their initials before a place.
-OFFICES = """chamber of commerce; customs directorate; department of fisheries; development bank; export council; housing board;
-ministry of finance; municipal council; pension fund; port authority; reserve bank; securities commission; state electricity board;
-statistics office; transport authority; water board; central bank; department of health; department of education; electricity board;
-tourism board; tax authority; irrigation department; health ministry; planning commission; election commission"""
-# Words that may be left out beside another class word.
-OPTIONAL = frozenset("mills products series fund".split())
 # Short forms of given names.
 GIVEN = {
     "alexander": "alex alec sandy sasha", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny benjy",
@@ -109,26 +84,6 @@ NICKNAMES = {short: full for full, shorts in GIVEN.items() for short in shorts.s
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
 
 
-#: Ends the key of a form whose rare words are all too short for typing errors.
-EXACT = " ="
-
-
-class Form(NamedTuple):
-    """One spelling, read.  Companies and offices have class words; persons have the class "person".
-
-    Rare words under 4 letters ('TCS Limited') make a form that is compared with equal ones only.
-    """
-
-    key: str  # class words and number; for persons "person" and the first initial
-    first: str  # all but the last rare word; a person's given name, or its initial
-    last: str  # the last rare word; a person's surname
-    short: bool  # first is only an initial or short form
-
-    @property
-    def core(self) -> str:
-        return self.first + self.last
-
-
 def fold(text: str) -> str:
     text = unicodedata.normalize("NFKD", text)
     return "".join(c for c in text if not unicodedata.combining(c))
@@ -151,152 +106,45 @@ def aliases_of(text: str | None) -> list[str]:
     return [x for x in found if isinstance(x, str) and x.strip()] if isinstance(found, list) else []
 
 
-class Reader:
-    """Reads spellings into forms.  ``common``: further class words, found by their frequency.
+_VOWEL = re.compile("[aeiou]")
 
-    A spelling that keeps no rare word beside them, or is a person's, is read without them.
-    """
 
-    def __init__(self, common: frozenset[str] = frozenset()) -> None:
-        self.plain = Reader() if common else None
-        self.classes = CLASS_WORDS | {w for w in common if w not in LEGAL | TITLES | FILLERS and w not in GIVEN and w not in NICKNAMES and w not in SHORT_FORMS}
-        self.offices: dict[str, frozenset[str]] = {}
-        for phrase in OFFICES.replace("\n", " ").split(";"):
-            words = phrase.split()
-            self.offices["".join(w[0] for w in words)] = frozenset(w for w in words if w != "of")
-        self.by_size: dict[int, list[str]] = {}
-        for w in sorted(self.classes):
-            self.by_size.setdefault(len(w), []).append(w)
-        self.nearest = lru_cache(maxsize=100_000)(self._nearest)
-        self.given = lru_cache(maxsize=50_000)(self._given)
-
-    def _nearest(self, token: str, dotted: bool) -> str | None:
-        """The class word a token stands for."""
-        if token in self.classes:
-            return token
-        if token in SHORT_FORMS:
-            return SHORT_FORMS[token]
-        if dotted and len(token) >= 3:
-            starts = [w for w in self.classes if w.startswith(token)]
-            if len(starts) == 1:
-                return starts[0]
-        if len(token) < 4:
-            return None
-        most = 1 if len(token) < 7 else 2
-        best: tuple[int, int, str] | None = None
-        for size in range(len(token) - most, len(token) + most + 1):
-            for w in self.by_size.get(size, ()):
-                if len(w) < 4 or (len(w) < 6 and most > 1):
-                    continue
-                if w[0] != token[0] and w[1:2] != token[1:2] and w[0] != token[1:2]:
-                    continue
-                e = edits(token, w, most)
-                if e is not None and (best is None or (len(e), len(w)) < best[:2]):
-                    best = (len(e), len(w), w)
-        if best:
-            return best[2]
-        if len(token) >= 5:
-            for short, w in SHORT_FORMS.items():
-                if len(short) >= 5 and abs(len(short) - len(token)) <= 1 and short[0] == token[0] and edits(token, short, 1) is not None:
-                    return w
+def read_form(spelling: str) -> str | None:
+    """The words of a spelling, then its numbers as #n; None if it names nobody.
+
+    A single word without a legal form ends in " ~": it may be anybody's initials.  Pointers (our Company, the
+    Bank) and blank spellings name nobody.
+    """
+    s = fold(spelling)
+    s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s).lower().replace("&", " ")
+    s = re.sub(r"\bm\s*/\s*s\b\.?", " ", s)
+    dotted = lambda m: w if (w := m[1].replace(".", "")) in LEGAL else " ".join(w) + " "
+    s = re.sub(r"\b((?:[a-z]\.){2,}[a-z]?)(?=\W|$)", dotted, s)
+    words = [t for t, _ in re.findall(r"([a-z0-9]+)('s\b)?", s)]
+    words = [t.replace("0", "o").replace("1", "l") if len(t) > 1 and re.search("[a-z]", t) and re.search("[01]", t) else t for t in words]
+    content: list[str] = []
+    numbers: set[str] = set()
+    legal = False
+    for n, t in enumerate(words):
+        if t in LEGAL or (t == "p" and words[n + 1 : n + 2] and words[n + 1] in ("ltd", "limited")):
+            legal = True
+        elif t.isdigit():
+            numbers.add(f"#{int(t)}")
+        elif t in ROMAN and len(words) > 2 and (len(t) > 1 or 3 <= n == len(words) - 1):
+            numbers.add(f"#{ROMAN[t]}")
+        elif t not in FILLERS and not (t in TITLES and len(words) > 2):
+            content.append(t)
+    if not content or not POINTERS.isdisjoint(content):
         return None
+    if len(content) > 1 and all(len(t) == 1 for t in content):
+        content = ["".join(content)]
+    if len(content) == 1 and (len(content[0]) == 1 or content[0] in GENERAL or (words[0] == "the" and not legal)):
+        return None
+    return " ".join([*content, *sorted(numbers)]) + (" ~" if len(content) == 1 and not legal else "")
 
-    def _given(self, token: str) -> str:
-        if token in NICKNAMES:
-            return NICKNAMES[token]
-        if token in GIVEN or len(token) < 4:
-            return token
-        for full in GIVEN:
-            e = edits(token, full, 2 if len(full) >= 7 else 1)
-            if e is not None:
-                return full
-        for short, full in NICKNAMES.items():
-            if len(short) >= 4 and edits(token, short, 1) is not None:
-                return full
-        return token
-
-    def __call__(self, spelling: str) -> Form | None:
-        """None if the spelling identifies nobody: nothing rare in it, or a general phrase, or bare initials."""
-        found = self._read(spelling)
-        return self.plain(spelling) if found is None and self.plain else found
-
-    def _read(self, spelling: str) -> Form | None:
-        s = fold(spelling)
-        s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
-        s = s.lower().replace("&", " ")
-        s = re.sub(r"\bm\s*/\s*s\b\.?", " ", s)
-        s = re.sub(r"\b((?:[a-z]\.){2,}[a-z]?)(?=\W|$)", lambda m: m[1].replace(".", "") if m[1].replace(".", "") in LEGAL else " ".join(m[1].replace(".", "")) + " ", s)
-        if "," in s:
-            head, _, tail = s.rpartition(",")
-            s = f"{tail.strip()} {head.replace(',', ' ')}"
-        found = re.findall(r"([a-z0-9]+)('s\b)?(\.)?", s)
-        tokens: list[tuple[str, bool]] = []
-        for t, _, dot in found:
-            if re.search(r"[a-z]", t) and re.search(r"[01]", t) and len(t) > 2:
-                t = t.replace("0", "o").replace("1", "l")
-            tokens.append((t, bool(dot)))
-        words = [t for t, _ in tokens]
-        classes: set[str] = set()
-        rare: list[str] = []
-        number = ""
-        legal = False
-        for n, (t, dot) in enumerate(tokens):
-            if t in LEGAL:
-                legal = True
-            elif t == "p" and n + 1 < len(words) and words[n + 1] in ("ltd", "limited"):
-                legal = True
-            elif t.isdigit():
-                number = str(int(t))
-            elif t in TITLES and len(words) > 2:
-                continue
-            elif t in self.offices and len(words) == 2 and not any(w in self.classes for w in words):
-                classes |= self.offices[t]
-            elif (w := self.nearest(t, dot)) is not None:
-                classes.add(w)
-            elif t in FILLERS and not dot:
-                continue
-            else:
-                rare.append(t)
-        if not legal and len(rare) > 1 and rare[0] in ("dr", "ca"):
-            rare = rare[1:]
-        if classes & {"trust", "series", "fund"} and not number:
-            for t in [x for x in rare if x in ROMAN] + [x for x in words if x in ROMAN and x in ("v", "x", "i")]:
-                number = str(ROMAN[t])
-                rare = [x for x in rare if x != t]
-                break
-        if classes & {"trust", "series", "fund"}:
-            rare = [x for x in rare if x not in ROMAN]
-        if not classes and not legal:
-            return self._person(rare)
-        if self.plain and not legal and not classes & CLASS_WORDS and all(len(x) == 1 or self.given(x) in GIVEN for x in rare):
-            return None  # a person whose surname is frequent
-        if "trust" in classes and number:
-            classes -= {"fund", "series"}
-        kept = classes - OPTIONAL or classes
-        if "pension" in classes:
-            kept = classes
-        if "exports" in kept and "council" in kept:
-            kept = kept - {"exports"} | {"export"}
-        key = " ".join(sorted(kept)) + (f" #{number}" if number else "")
-        if not any(len(x) >= 4 for x in rare):
-            core = "".join(rare)
-            return Form(key + EXACT, "", core, False) if len(core) > 1 and not POINTERS.issuperset(rare) else None
-        last = rare[-1]
-        first = "".join(rare[:-1])
-        return Form(key, first, last, 0 < len(first) <= 3 and len(last) > 4)
-
-    def _person(self, rare: list[str]) -> Form | None:
-        long = [x for x in rare if len(x) > 1]
-        if not long or len(rare) < 2 or not POINTERS.isdisjoint(rare):
-            return None
-        if len(long) == 1:  # an initial and a surname, in either order
-            surname = long[0]
-            first = next(x for x in rare if len(x) == 1)
-            return Form(f"person {first}", first, surname, True)
-        given, surname = self.given(long[0]), long[-1]
-        if given not in GIVEN and self.given(surname) in GIVEN:  # surname first
-            given, surname = self.given(surname), long[0]
-        return Form(f"person {given[0]}", given, surname, False)
+
+def words_of(form: str) -> list[str]:
+    return [t for t in form.split(" ") if t[0] not in "#~"]
 
 
 def slips(size: int) -> int:
@@ -326,33 +174,186 @@ def same_word(a: str, b: str) -> float:
     return 1 - len(found) / (size + 1)
 
 
-#: The weight of an initial, a short form or a given name, which are never rare.
-LEAD_WEIGHT = 2.0
+def abbreviates(t: str, u: str) -> bool:
+    """Whether t may be short for u: its start, its consonants, or its first letters and some others."""
+    if len(t) >= len(u) or t[0] != u[0]:
+        return False
+    if u.startswith(t) or (len(t) > 3 and t[-1] == "s" and u.startswith(t[:-1])):
+        return True
+    if len(t) < 2 or len(t) > 0.8 * len(u):
+        return False
+    rest = iter(u)
+    if _VOWEL.search(t[1:]) and not (len(t) >= 4 and t[:2] == u[:2] and len(t) <= 0.75 * len(u)):
+        return False
+    return all(c in rest for c in t)
 
 
-def similarity(a: Form, b: Form, rarity: float) -> float:
-    """Soft weighted token similarity of two forms of one key; ``rarity`` weighs their last words."""
-    if a.key.startswith("person"):
-        if a.short or b.short:
-            given = 1.0 if a.first[0] == b.first[0] else 0.0
+class Vocabulary(NamedTuple):
+    """What is counted: all of it bounded by the shares above, whatever the table's size."""
+
+    common: dict[str, int]  # in how many forms
+    synonyms: dict[str, frozenset[str]]
+    tails: dict[str, frozenset[str]]  # the words it follows as a matter of course
+    forms: int
+    least: float
+
+    @property
+    def rare_weight(self) -> float:
+        return math.log2(max(2.0, self.forms / self.least))
+
+    def one_way(self, t: str, u: str) -> bool:
+        return u in self.synonyms.get(t, ()) or t in self.synonyms.get(u, ())
+
+
+class Matcher:
+    """Soft weighted token similarity of forms."""
+
+    def __init__(self, known: Vocabulary) -> None:
+        self.known = known
+        top = known.rare_weight
+        self.rare = top
+        self.weights = {t: min(top, max(1.0, math.log2(max(known.forms, 1) / n))) for t, n in known.common.items()}
+        self.shorts: dict[str, list[str]] = {}
+        for t, us in known.synonyms.items():
+            for u in us:
+                if 5 <= len(t) < len(u):
+                    self.shorts.setdefault(u, []).append(t)
+        self.pair = lru_cache(maxsize=300_000)(self._pair)
+
+    def weight(self, t: str) -> float:
+        return INITIAL_WEIGHT if len(t) == 1 else self.weights.get(t, self.rare)
+
+    def _pair(self, t: str, u: str) -> tuple[float, int]:
+        """Similarity of two words, and which of them is the weak one (-1 t, 1 u, 0 neither)."""
+        if t == u:
+            return 1.0, 0
+        if self.known.one_way(t, u):
+            return 0.95, 0
+        full_t, full_u = NICKNAMES.get(t, t), NICKNAMES.get(u, u)
+        if full_t == full_u:
+            return 0.95, 0
+        if full_t in GIVEN and full_u in GIVEN:
+            return 0.0, 0
+        n_t, n_u = self.known.common.get(t, 0), self.known.common.get(u, 0)
+        if not (n_t and n_u):
+            near = same_word(t, u)
+            if near:
+                return near, 0
+            if any(same_word(u, s) for s in self.shorts.get(t, ())) or any(same_word(t, s) for s in self.shorts.get(u, ())):
+                return 0.9, 0
+            size = min(len(t), len(u))
+            if 5 <= size < 7 and t[0] == u[0] and not (n_t or n_u or t in GIVEN or u in GIVEN) and edits(t, u, 2) is not None:
+                return LOOSE, 0
+        for a, b, n_a, n_b, side in ((t, u, n_t, n_u, -1), (u, t, n_u, n_t, 1)):
+            # an initial is that of the full given name; two words about as common as each other are two words
+            if abbreviates(a, NICKNAMES.get(b, b) if len(a) == 1 else b) and not (n_a and n_b and not b.startswith(a) and n_a * 1.5 > n_b):
+                firm = len(a) >= 4 or (n_b and len(a) > 1) or (len(a) > 1 and not b.startswith(a))
+                return (0.9, 0) if firm else (0.8, side)
+            if len(a) == 3 and len(b) > 4 and not n_b and a[0] == b[0] and edits(a, b[:3], 1) is not None:
+                return 0.6, side
+        return 0.0, 0
+
+    def __call__(self, x: str, y: str) -> tuple[float, int]:
+        """The similarity (0 if anything contradicts), and which form says less (-1 x, 1 y, 0 neither).
+
+        Words left over on both sides contradict each other, and so do numbers.
+        """
+        if x == y:
+            return 1.0, 0
+        if [t for t in x.split(" ") if t[0] == "#"] != [t for t in y.split(" ") if t[0] == "#"]:
+            return 0.0, 0
+        a, b = words_of(x), words_of(y)
+        left, right = set(range(len(a))), set(range(len(b)))
+        matched = total = 0.0
+        weak: set[int] = set()
+        anchored = False
+        for p, q, ps, qs in ((a, b, left, right), (b, a, right, left)):  # a word that is two of the other's
+            for i in sorted(ps):
+                if len(p[i]) < 6 or p[i] in q:
+                    continue
+                for j in sorted(qs):
+                    if j + 1 in qs and len(q[j]) > 1 and len(q[j + 1]) > 1 and abs(len(p[i]) - len(q[j]) - len(q[j + 1])) <= 3:
+                        if same_word(p[i], q[j] + q[j + 1]) or same_word(p[i], q[j + 1] + q[j]):
+                            ps.discard(i)
+                            qs -= {j, j + 1}
+                            w = self.weight(q[j]) + self.weight(q[j + 1])
+                            matched, total, anchored = matched + 0.95 * w, total + w, True
+                            break
+        ranks_a, ranks_b = _initial_ranks(a), _initial_ranks(b)
+        scores = []
+        for i in left:
+            for j in right:
+                s, side = self.pair(a[i], b[j])
+                if not s or (len(a[i]) == 1 == len(b[j]) and None not in (ranks_a[i], ranks_b[j]) and ranks_a[i] != ranks_b[j]):
+                    continue
+                if (side == -1 and len(a[i]) == 1 and ranks_a[i] == 1) or (side == 1 and len(b[j]) == 1 and ranks_b[j] == 1):
+                    continue
+                scores.append((-s, i, j, side))
+        loose = firm = given = 0
+        for s, i, j, side in sorted(scores):
+            if i not in left or j not in right:
+                continue
+            left.discard(i)
+            right.discard(j)
+            w = min(self.weight(a[i]), self.weight(b[j])) if not side else SHORT_WEIGHT
+            matched, total = matched - s * w, total + w
+            if side:
+                weak.add(side)
+                continue
+            anchored = anchored or len(a[i]) >= 4 or (1 < len(a[i]) == len(b[j]))
+            named = a[i] in GIVEN or b[j] in GIVEN
+            if -s == LOOSE:
+                loose += 1
+            elif named:
+                given += 1
+            elif len(a[i]) >= 4 and not (a[i] in self.known.common or b[j] in self.known.common):
+                firm += 1
+        for p, q, ps, qs, side in ((a, b, left, right, -1), (b, a, right, left, 1)):  # initials of several words
+            for i in sorted(ps):
+                if 2 <= len(p[i]) <= 5 and (run := _initials(p[i], q, sorted(qs))):
+                    ps.discard(i)
+                    qs -= set(run)
+                    matched, total = matched + 0.8 * SHORT_WEIGHT, total + SHORT_WEIGHT
+                    weak.add(side)
+        for p, ps in ((a, left), (b, right)):
+            for i in sorted(ps):
+                if not self.known.tails.get(p[i], frozenset()).isdisjoint(p[:i]):
+                    ps.discard(i)
+        if (left and right) or loose > 1 or (loose and not firm):
+            return 0.0, 0
+        for rest, p, side in ((left, a, 1), (right, b, -1)):
+            for i in sorted(rest, key=lambda k: -len(p[k])):
+                total += self.weight(p[i])
+                if len(p[i]) > 1 or (not weak and firm + given < 2):  # a middle initial is no more than that
+                    weak.add(side)
+        if len(weak) > 1 or not anchored:
+            return 0.0, 0
+        return matched / total, weak.pop() if weak else 0
+
+
+def _initial_ranks(words: list[str]) -> list[int | None]:
+    """For single letters 0 if a name's first initial, 1 if a later one, None if either; None for words."""
+    long = [t for t in words if len(t) > 1]
+    named = any(NICKNAMES.get(t, t) in GIVEN for t in long)
+    out: list[int | None] = []
+    seen = 1 if named else 0
+    for t in words:
+        if len(t) > 1:
+            out.append(None)
         else:
-            given = same_word(a.first, b.first)
-        last = same_word(a.last, b.last)
-        if not given or not last:
-            return 0.0
-        return (LEAD_WEIGHT * given + rarity * last) / (LEAD_WEIGHT + rarity)
-    if not a.short and not b.short:
-        return same_word(a.core, b.core)
-    if not a.first or not b.first:  # one word: it may be all of the other's, or its last word alone
-        return same_word(a.core, b.core)
-    lead = 1.0 if a.first.startswith(b.first) or b.first.startswith(a.first) else 0.0
-    if not lead and min(len(a.first), len(b.first)) > 1 and a.first[0] == b.first[0]:
-        n = min(len(a.first), len(b.first))
-        lead = 0.6 if edits(a.first[:n], b.first[:n], 1) is not None else 0.0
-    last = same_word(a.last, b.last)
-    if not lead or not last:
-        return 0.0
-    return (LEAD_WEIGHT * lead + rarity * last) / (LEAD_WEIGHT + rarity)
+            out.append(None if not named and len(long) > 1 and not seen else min(seen, 1))
+            seen += 1
+    return out
+
+
+def _initials(t: str, words: list[str], places: list[int]) -> list[int]:
+    """Neighbouring places of which t is the initials, filler words' initials allowed between; else []."""
+    for k in range(len(places)):
+        for m in range(len(places), k + 1, -1):
+            run = places[k:m]
+            if run[-1] - run[0] == len(run) - 1 and re.fullmatch("[ofait]?".join(words[j][0] for j in run), t):
+                return run
+    return []
 
 
 def rests(word: str) -> set[str]:
@@ -374,143 +375,212 @@ def rests(word: str) -> set[str]:
     return out
 
 
-def _spellings(rows: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("spelling", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, text = [], []
-            for k, (name, aliases) in enumerate(zip(batch.column("canonical_name").to_pylist(), batch.column("aliases_json").to_pylist(), strict=True)):
-                for s in dict.fromkeys([name or "", *aliases_of(aliases)]):
-                    if s.strip():
-                        row.append(k)
-                        text.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(text, pa.string())], names=["id", "spelling"])
-
-    return rows.select("id", "canonical_name", "aliases_json").mapInArrow(run, schema)
-
+def keys_of(form: str, common: dict[str, int]) -> set[tuple[int, str]]:
+    """(side, key) under which a form is filed; sides 0 and 0, 0 and 1, and 2 and 3 meet.
 
-def _class_words(spelled: DataFrame, total: int) -> frozenset[str]:
-    """Words frequent beside many different others: at most words-a-row / CLASS_SHARE of them.  Persons' names don't count."""
-    lines = LEGAL | CLASS_WORDS | SHORT_FORMS.keys()
-    listed = lambda words: F.array(*map(F.lit, sorted(words)))
-    every = F.array_distinct(F.split(F.lower("spelling"), "[^a-z]+"))
-    named = spelled.select("id", every.alias("every")).where(F.arrays_overlap("every", listed(lines)))
-    named = named.select("id", F.array_except("every", listed(lines | TITLES | FILLERS | {""})).alias("words"))
-    words = named.select("id", F.explode("words").alias("w"), "words").where(F.length("w") > 3)
-    frequent = words.groupBy("w").agg(F.countDistinct("id").alias("n")).where(F.col("n") > max(CLASS_ROWS, CLASS_SHARE * total))
-    found = [r["w"] for r in frequent.select("w").collect()]
-    if not found:
-        return frozenset()
-    others = F.array_remove("words", F.col("w"))
-    beside = words.where(F.col("w").isin(found)).select("w", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array(F.lit("")))).alias("other"))
-    varied = beside.groupBy("w", "other").agg(F.count("*").cast("double").alias("n")).groupBy("w").agg((F.sum("n") ** 2 / F.sum(F.col("n") ** 2)).alias("v"))
-    return frozenset(r["w"] for r in varied.where(F.col("v") >= CLASS_COMPANY).select("w").collect())
+    0: what deletions leave of its rare words, and very short words with the initials of all; 1: what
+    deletions leave of two rare words written as one; 2: for forms without a rare word, each word with the
+    initials of all; 3: the same of forms with one rare word, which may be a mistyped common one.
+    """
+    words = words_of(form)
+    rare = [t for t in words if t not in common and len(t) > 1]
+    out: set[tuple[int, str]] = set()
+    letters = "".join(sorted({t[0] for t in words}))
+    long = [t for t in rare if len(t) >= 4]
+    for t in rare:
+        out.update((0, r) for r in rests(t)) if len(t) >= 4 else out.add((0, f"{t} {letters}"))
+    for x, y in zip(words, words[1:], strict=False):
+        if x in rare and y in rare and len(x) + len(y) >= 6:
+            out.update((1, r) for r in rests(x + y))
+    if len(long) < 2:
+        side = 3 if long else 2
+        out.update((side, f"{t} {letters}") for t in words if len(t) > 1 and t not in long)
+        if not long:
+            out.add((0, "= " + " ".join(sorted(words))))
+    return out
 
 
-def link_names(entities: DataFrame) -> DataFrame:
-    """(id, canonical_name, aliases_json) to (entity_id, group_id): a row per id that has a usable spelling.
+def sketch_of(form: str, known: Vocabulary) -> tuple[int, int, int]:
+    """Initials of all words, initials that only common words have, and words with numbers, as whole numbers.
 
-    Rows of one group name the same company, public body, fund or person.  Null ids are left out; null,
-    blank or unusable names and aliases, and aliases that name nobody in particular, link nothing.  Exact
-    copies and repeated rows fall into one group.  Other columns are ignored.  An empty table gives an
-    empty result.
+    A common word for which rows use words of other initials, or that is left out at will, is not among them;
+    a short given name has the initial of the full one too.
     """
-    spark = entities.sparkSession
-    scratch = Scratch(spark)
-    spelled, _ = scratch.cut(_spellings(entities.where("id is not null")))
-    total = entities.count()
-    common = _class_words(spelled, total)
-    form = T.StructType(
-        [
-            T.StructField("id", entities.schema["id"].dataType),
-            *(T.StructField(c, T.StringType()) for c in ("key", "first", "last")),
-            T.StructField("short", T.BooleanType()),
-        ]
+    every = fixed = other = 0
+    words = words_of(form)
+    for t in words:
+        bit = 1 << (ord(t[0]) - 97 if t[0].isalpha() else 26 + int(t[0]))
+        every |= bit | (1 << ord(NICKNAMES[t][0]) - 97 if t in NICKNAMES else 0)
+        loose = t not in known.common or t in known.tails or any(u[0] != t[0] for u in known.synonyms.get(t, ()))
+        fixed, other = (fixed, other | bit) if loose else (fixed | bit, other)
+    return every, fixed & ~other, len(words)
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """(id, form, named, name_form): the forms of names and aliases; name_form is that of the row's name."""
+    schema = T.StructType(
+        [T.StructField("id", rows.schema["id"].dataType), T.StructField("form", T.StringType()), T.StructField("name_form", T.StringType())]
     )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(common)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lru_cache(maxsize=100_000)(read_form)
         for batch in batches:
-            forms = [reader(s) for s in batch.column("spelling").to_pylist()]
-            keep = [k for k, f in enumerate(forms) if f is not None]
-            columns = list(zip(*(forms[k] for k in keep), strict=True)) or [[]] * 4
-            types = [pa.string()] * 3 + [pa.bool_()]
+            at, forms, names = [], [], []
+            for k, (name, aliases) in enumerate(zip(batch.column("canonical_name").to_pylist(), batch.column("aliases_json").to_pylist(), strict=True)):
+                own = read(name) if name and name.strip() else None
+                for form in dict.fromkeys([own, *(read(s) for s in aliases_of(aliases))]):
+                    if form is not None:
+                        at.append(k)
+                        forms.append(form)
+                        names.append(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(keep, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                names=["id", "key", "first", "last", "short"],
+                [batch.column("id").take(pa.array(at, pa.int64())), pa.array(forms, pa.string()), pa.array(names, pa.string())], names=schema.names
             )
 
-    rows = spelled.mapInArrow(read, form).withColumn("form", F.concat_ws("|", "key", "first", "last"))
-    rows, _ = scratch.cut(rows.dropDuplicates(["id", "form"]))
-    forms = rows.select("form", "key", "first", "last", "short").dropDuplicates(["form"])
-    full, last = F.concat("first", "last"), F.col("last")
-    # A form is found by its whole core (F) if it is no short form, and by its last word (L) against short forms.
-    sides = F.when(F.col("key").startswith("person"), F.array(F.struct(F.lit("L").alias("side"), last.alias("word")))).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(~F.col("short"), F.struct(F.lit("F").alias("side"), full.alias("word"))),
-                F.when(F.col("first") != "", F.struct(F.lit("L").alias("side"), last.alias("word"))),
-            )
-        )
-    )
-    sided = forms.where(~F.col("key").endswith(EXACT)).select("form", "key", "first", "last", "short", F.explode(sides).alias("s")).select("form", "key", "short", "s.side", "s.word")
-    places = F.sequence(F.lit(0), F.greatest(F.length("word") - Q, F.lit(0)))
-    grams = sided.select("*", F.explode(F.transform(places, lambda p: F.struct(p.alias("at"), F.substring("word", p + 1, F.lit(Q)).alias("gram")))).alias("g"))
-    grams, _ = scratch.cut(grams.select("form", "side", "g.gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    # a word is as rare as its grams are on average
-    bits = F.avg(F.log2(F.lit(float(max(total, 1))) / F.col("n")))
-    rarity = grams.join(frequency, "gram").groupBy("form", "side").agg(F.greatest(bits, F.lit(1.0)).alias("rarity"))
-    rest = T.StructType([*(T.StructField(c, T.StringType()) for c in ("form", "key", "side", "word")), T.StructField("short", T.BooleanType()), T.StructField("rest", T.StringType())])
-
-    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.select("id", "canonical_name", "aliases_json").mapInArrow(run, schema)
+
+
+def learn(rows: DataFrame, forms: DataFrame) -> Vocabulary:
+    """Counts the vocabulary of ``forms`` (form, distinct) and of ``rows`` (form, name_form)."""
+    words = lambda c: F.filter(F.split(c, " "), lambda t: ~t.rlike("^[#~]"))
+    every = forms.select(words(F.col("form")).alias("words")).select("words", F.explode(F.array_distinct("words")).alias("w"))
+    total = forms.count()
+    least = max(COMMON_FORMS, COMMON_SHARE * total)
+    often = {r["w"]: r["n"] for r in every.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.length("w") > 1)).collect()}
+    if not often:
+        return Vocabulary({}, {}, {}, total, least)
+    of_these = every.where(F.col("w").isin(list(often)))
+    beside = of_these.select("w", F.explode(F.array_except("words", F.array("w"))).alias("o")).groupBy("w").agg(F.countDistinct("o").alias("n"))
+    common = {r["w"]: often[r["w"]] for r in beside.where(F.col("n") >= COMMON_FORMS).collect()}
+    before = of_these.where(F.col("w").isin(list(common))).select("w", F.explode(F.array_distinct(F.slice("words", F.lit(1), F.array_position("words", F.col("w")).cast("int") - 1))).alias("v"))
+    own = F.lit(None).cast("long")
+    for part in [list(common.items())[k : k + 500] for k in range(0, len(common), 500)]:
+        own = F.coalesce(own, F.element_at(F.create_map(*(F.lit(x) for item in part for x in item)), F.col("w")).cast("long"))
+    follows = before.groupBy("w", "v").agg(F.count("*").alias("n")).where(F.col("n") >= TAIL_OWN * own)
+    tails: dict[str, set[str]] = {}
+    for r in follows.collect():  # at most a few for each common word
+        if r["v"] in common and r["n"] >= TAIL_OTHER * common[r["v"]]:
+            tails.setdefault(r["w"], set()).add(r["v"])
+    for t in common:
+        for w in list(tails):
+            if len(t) > 1 and t not in tails and abbreviates(t, w):
+                tails[t] = tails[w]
+    return Vocabulary(common, _synonyms(rows, total), {k: frozenset(v) for k, v in tails.items()}, total, least)
+
+
+def _synonyms(rows: DataFrame, total: int) -> dict[str, frozenset[str]]:
+    """Words that rows use for one another, as the one difference of two of their spellings."""
+    a, b = F.split("name_form", " "), F.split("form", " ")
+    pairs = rows.where("name_form <> form").select(F.array_except(a, b).alias("x"), F.array_except(b, a).alias("y"), F.array_intersect(a, b).alias("both"))
+    pairs = pairs.where((F.size("x") == 1) & (F.size("y") == 1) & (F.size("both") > 0)).select(F.col("x")[0].alias("x"), F.col("y")[0].alias("y"))
+    pairs = pairs.where(F.col("x").rlike("^[a-z]") & F.col("y").rlike("^[a-z]") & (F.length("x") > 1) & (F.length("y") > 1))
+    both = pairs.union(pairs.select("y", "x")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    often = both.groupBy("x").agg(F.sum("n").alias("all"), F.max(F.struct("n", "y")).alias("top"))
+    found: dict[str, set[str]] = {}
+    least = max(SYNONYM_ROWS, SYNONYM_OF_ALL * total)
+    for r in often.where((F.col("top.n") >= least) & (F.col("top.n") >= SYNONYM_SHARE * F.col("all"))).collect():
+        found.setdefault(r["x"], set()).add(r["top"]["y"])
+    return {k: frozenset(v) for k, v in found.items()}
+
+
+def _candidates(forms: DataFrame, known: Vocabulary) -> DataFrame:
+    """(a, b) of forms' hashes, each pair once, that share a key and whose initials don't contradict."""
+    schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("side", T.ByteType()), T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("every", "fixed", "size"))])
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):  # a word has up to 92 rests
-                part = batch.slice(start, 1000)
-                found = [(k, r) for k, w in enumerate(part.column("word").to_pylist()) for r in rests(w)]
-                at = pa.array([k for k, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array([r for _, r in found], pa.string())], names=rest.names)
-
-    # rests as hashes, for less to shuffle
-    left_over = sided.select("form", "key", "side", "word", "short").mapInArrow(leave, rest)
-    left_over = left_over.select(F.xxhash64("key", "side", "rest").alias("rest"), "form", "side", "word", "short", F.col("key").startswith("person").alias("person"))
-    left_over, _ = scratch.cut(left_over)
-    left = left_over.select("rest", "side", "person", F.col("form").alias("form_a"), F.col("word").alias("word_a"), F.col("short").alias("short_a"))
-    right = left_over.select("rest", "side", F.col("form").alias("form_b"), F.col("word").alias("word_b"), F.col("short").alias("short_b"))
-    near = (
-        left.join(right, ["rest", "side"])
-        .where("form_a < form_b and abs(length(word_a) - length(word_b)) <= 3")
-        .where("side = 'F' or person or short_a or short_b")
-        .where("substring_index(form_a, '|', 1) = substring_index(form_b, '|', 1)")
-        .where(F.levenshtein("word_a", "word_b", 6) >= 0)  # a swap counts 2
-        .select("form_a", "form_b", "side")
-        .distinct()
-        .join(rarity.withColumnRenamed("form", "form_a"), ["form_a", "side"])
-        .groupBy("form_a", "form_b")
-        .agg(F.max("rarity").alias("rarity"))
-    )
-    pair = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+                column = batch.column("form").slice(start, 1000)
+                at, sides, keys, sketches = [], [], [], []
+                for k, form in enumerate(column.to_pylist()):
+                    found = keys_of(form, known.common)
+                    at += [k] * len(found)
+                    sides += [s for s, _ in found]
+                    keys += [r for _, r in found]
+                    sketches.append(sketch_of(form, known))
+                places = pa.array(at, pa.int64())
+                numbers = [pa.array(c, pa.int64()).take(places) for c in zip(*sketches, strict=True)]
+                yield pa.RecordBatch.from_arrays([column.take(places), pa.array(sides, pa.int8()), pa.array(keys, pa.string()), *numbers], names=schema.names)
+
+    filed = forms.mapInArrow(file, schema)
+    numbers = F.array_join(F.filter(F.split("form", " "), lambda t: t.startswith("#")), " ")
+    group = F.when(F.col("side") < 2, 0).otherwise(1)
+    filed = filed.select(F.xxhash64(group, "key", numbers).alias("key"), F.xxhash64("form").alias("form"), "side", "every", "fixed", "size")
+    filed, _ = Scratch(forms.sparkSession).cut(filed)
+    a = filed.where("side in (0, 2)").select("key", *(F.col(c).alias(f"{c}_a") for c in ("form", "side", "every", "fixed", "size")))
+    b = filed.select("key", *(F.col(c).alias(f"{c}_b") for c in ("form", "side", "every", "fixed", "size")))
+    # one initial may be mistyped, or words missing on one side; common words that differ are two words
+    only_a, only_b = F.expr("every_a & ~every_b"), F.expr("every_b & ~every_a")
+    one_each = (F.bit_count(only_a) == 1) & (F.bit_count(only_b) == 1) & (F.col("size_a") == F.col("size_b"))
+    contradict = (only_a.bitwiseAND(F.col("fixed_a")) != 0) & (only_b.bitwiseAND(F.col("fixed_b")) != 0)
+    ordered = F.when(F.col("side_a") == F.col("side_b"), F.col("form_a") < F.col("form_b")).otherwise(F.col("form_a") != F.col("form_b"))
+    near = a.join(b, "key").where(ordered & ((only_a == 0) | (only_b == 0) | (one_each & ~contradict)))
+    return near.select(F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")).distinct()
+
+
+def _links(forms: DataFrame, known: Vocabulary) -> DataFrame:
+    """(a, b, weak): hashes of forms that name the same; if weak, a says less than b."""
+    text = forms.select(F.xxhash64("form").alias("h"), "form")
+    side = lambda s: text.select(F.col("h").alias(s), F.col("form").alias(f"form_{s}"))
+    near = _candidates(forms, known).join(side("a"), "a").join(side("b"), "b")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("weak", T.BooleanType())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parse(form: str) -> Form:
-            key, first, last = form.split("|")
-            person = key.startswith("person")
-            return Form(key, first, last, len(first) == 1 if person else 0 < len(first) <= 3 and len(last) > 4)
-
+        match = Matcher(known)
         for batch in batches:
-            a, b = [], []
-            for x, y, rarity in zip(*(batch.column(c).to_pylist() for c in ("form_a", "form_b", "rarity")), strict=True):
-                if similarity(parse(x), parse(y), rarity) >= SIMILAR:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    links = near.mapInArrow(verify, pair)
-    # one graph of rows and forms; a row's node sorts before all forms
-    row_links = rows.select(F.concat(F.lit("!"), F.col("id").cast("string")).alias("a"), F.col("form").alias("b"))
-    groups = connected_groups(row_links.union(links)).where(F.col("id").startswith("!"))
-    return groups.select(F.substring("id", 2, 1_000_000).alias("entity_id"), F.substring("group_id", 2, 1_000_000).alias("group_id"))
+            out: list[tuple[int, int, bool]] = []
+            for h, k, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "form_a", "form_b")), strict=True):
+                score, less = match(x, y)
+                if score >= SIMILAR:
+                    out.append((k, h, True) if less == 1 else (h, k, less == -1))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=schema.names)
+
+    return near.select("a", "b", "form_a", "form_b").mapInArrow(verify, schema)
+
+
+def link_names(entities: DataFrame) -> DataFrame:
+    """(id, canonical_name, aliases_json) to (entity_id, group_id): a row per id that has a usable spelling.
+
+    Rows of one group name the same company, public body, fund or person.  Null ids are left out; null,
+    blank or unusable names and aliases, and spellings that name nobody in particular (our Company, the
+    Bank), link nothing.  Exact copies and repeated rows fall into one group, however frequent.  An initialled
+    or shortened form belongs to the group it fits; if it fits several it links nothing but its own copies.
+    Other columns are ignored.  An empty table gives an empty result.
+    """
+    scratch = Scratch(entities.sparkSession)
+    rows, _ = scratch.cut(_forms(entities.where("id is not null")))
+    forms, _ = scratch.cut(rows.select("form").distinct())
+    known = learn(rows, forms)
+    links, _ = scratch.cut(_links(forms, known))
+    hashed = rows.select("id", F.xxhash64("form").alias("f"), F.col("form").endswith("~").alias("alone"))
+    less = links.where("weak").select(F.col("a").alias("f")).distinct().withColumn("less", F.lit(True))
+    # a row stands by its full forms, else by its lesser ones, else by its single words
+    rank = F.when(F.col("alone"), 2).when(F.col("less"), 1).otherwise(0)
+    own, _ = scratch.cut(hashed.join(less, "f", "left").select("id", "f", rank.alias("rank")).distinct())
+    base = own.groupBy("id").agg(F.min(F.struct("rank", "f")).alias("m")).select("id", F.col("m.rank").alias("best"), F.col("m.f").alias("base"))
+    held = own.join(base, "id")
+    firm = links.where("not weak").select("a", "b").union(held.where("rank = best and f <> base").select("base", "f"))
+    groups = connected_groups(firm).select(F.col("id").alias("f"), "group_id")
+    groups, _ = scratch.cut(groups)
+    label = lambda c: F.coalesce("group_id", c)
+    to_group = lambda df, c, name: df.join(groups.withColumnRenamed("f", c), c, "left").withColumn(name, label(c)).drop("group_id")
+    loose = links.where("weak").select("a", "b").union(held.where("rank > best").select(F.col("f").alias("a"), F.col("base").alias("b")))
+    arrows = to_group(to_group(loose, "a", "x"), "b", "y").where("x <> y").select("x", "y").distinct()
+    arrows, _ = scratch.cut(arrows)
+    rows_at = to_group(base, "base", "g").select("id", "g")
+    rows_at, _ = scratch.cut(rows_at)
+    while True:  # every round joins at least one group to another
+        goes = arrows.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("x", "y")
+        goes, _ = scratch.cut(goes)
+        if goes.isEmpty():
+            break
+        merged, _ = scratch.cut(connected_groups(goes, "x", "y"))
+        now = lambda df, c: df.join(merged.select(F.col("id").alias(c), "group_id"), c, "left").withColumn(c, label(c)).drop("group_id")
+        arrows, _ = scratch.cut(now(now(arrows, "x"), "y").where("x <> y").select("x", "y").distinct())
+        rows_at, _ = scratch.cut(now(rows_at, "g").select("id", "g"))
+    first = rows_at.groupBy("g").agg(F.min(F.col("id").cast("string")).alias("group_id"))
+    return rows_at.join(first, "g").select(F.col("id").cast("string").alias("entity_id"), "group_id")
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:

@@ -106,18 +106,52 @@ def test_name_pairs(spark):
     assert {tuple(r) for r in again.collect()} == want
 
 
+def name_pairs(spark, spellings):
+    """Pairs found of a list of groups of spellings, and the pairs within the groups."""
+    rows = [(f"{g:03d}-{n}", v, None) for g, x in enumerate(spellings) for n, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, canonical_name string, aliases_json string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[0][:3] == b[0][:3]}
+    return {tuple(r) for r in names.variant_pairs(df).collect()}, want
+
+
 def test_frequent_names_stay_names(spark):
-    hot = [(f"h{n:02d}", ("Zephyr Steel Ltd", "Zephyr Steel", "Zephyr Stl. Company")[n % 3], None) for n in range(60)]
-    rows = hot + [(f"p{n:02d}", f"{g.title()} Kumarande", None) for n, g in enumerate(names.GIVEN)] + [("pz", "Z. Kumarande", None)]
-    rows += [(f"w{n:02d}", f"{a}{b}om{b}ul Widgets Ltd", None) for n, (a, b) in enumerate((a, b) for a in "BDGKLMNP" for b in "abefikor")]
+    hot = [[("Zephyr Steel Ltd", "Zephyr Steel", "Zephyr Stl. Company")[n % 3] for n in range(60)]]
+    hot += [[f"{g.title()} Kumarande"] + (["Z. Kumarande"] if g == "zachary" else []) for g in names.GIVEN]
+    r = random.Random(12)
+    hot += [["".join(r.choice("abdefgiklmnoprstuv") for _ in range(10)).title() + " Widgets Ltd"] for _ in range(60)]
+    got, want = name_pairs(spark, hot)
+    assert got == want
+    df = spark.createDataFrame([(names.read_form(v), None) for x in hot for v in x], "form string, name_form string")
+    known = names.learn(df, df.select("form").distinct())
+    assert set(known.common) == {"widgets", "kumarande"}
+
+
+def test_names_of_any_business_and_order(spark):
+    got, want = name_pairs(
+        spark,
+        [
+            ["Northwind Haulage Ltd", "Haulage, Northwind", "NORTHWIND HAUL. LTD", "Norhtwind Haulage"], ["Northwind Bakeries Ltd"], ["Verdant Bakeries", "The Verdant Bakeries PLC"],
+            ["Alpha Beta Gamma", "Gamma Alpha Beta"], ["Lismes Kuvpobkos Securities Ltd", "Kuvpobkos Lismes Securities Ltd", "Securities Lismes Kuvpobkos"],
+            ["International Business Machines Corp", "Intl Business Machines"], ["3M Company", "3M"], ["ACME", "Acme", "Acme Ltd"], ["IBM", "ibm"], ["Delmar Tunnels Series 3 Ltd"], ["Delmar Tunnels Series 4 Ltd", "Delmar Tunnels Series IV"],
+        ],
+    )
+    assert got == want
+
+
+def test_a_short_form_that_fits_two_names_links_neither(spark):
+    got, want = name_pairs(spark, [["Lismes Kuvpobkos Securities"], ["Lara Kuvpobkos Securities"], ["L. Kuvpobkos Securities", "L Kuvpobkos Secs."], ["Lismes Datoff Steel", "L. Datoff Steel"]])
+    assert got == want
+    rows = [("a", "Peter Bofraldor", '["PB"]'), ("b", "Paul Bofraldor", '["PB", "P. Bofraldor"]'), ("c", "Piet Baxmol", "['PB']"), ("d", "P. Bofraldor", None)]
     df = spark.createDataFrame(rows, "id string, canonical_name string, aliases_json string")
-    got = {tuple(r) for r in names.variant_pairs(df).collect()}
-    ids = [r[0] for r in hot]
-    assert {(a, b) for a in ids for b in ids if a < b} <= got
-    assert (f"p{len(names.GIVEN) - 1:02d}", "pz") in got and not any(a[0] != b[0] for a, b in got)
-    assert names._class_words(df.select("id", F.col("canonical_name").alias("spelling")), len(rows)) == {"widgets"}
-    reader = names.Reader(frozenset(["widgets", "zephyr"]))
-    assert reader("Bomul Widgets Ltd").key == "widgets" and reader("Zephyr Widgets Steel").core == "zephyrwidgets"
+    assert names.variant_pairs(df).collect() == []
+
+
+def test_rarity_decides():
+    known = names.Vocabulary({"steel": 900, "mills": 500}, {}, {}, 10_000, 20.0)
+    match = names.Matcher(known)
+    assert match("kuvpobkos lismes steel", "lismes kuvpobkos") == (match("lismes kuvpobkos", "kuvpobkos lismes steel")[0], 1)
+    assert match("kuvpobkos lismes steel", "lismes kuvpobkos")[0] > 0.75 > match("kuvpobkos lismes steel", "steel kuvpobkos")[0]
+    assert match("kuvpobkos steel", "kuvpobkos mills")[0] == 0 == match("kuvpobkos #3", "kuvpobkos #4")[0]
 
 
 def test_all_accepted_slips_are_candidates(spark):
@@ -130,8 +164,8 @@ def test_all_accepted_slips_are_candidates(spark):
         if names.same_word(a, b):
             assert names.rests(a) & names.rests(b), (a, b)
     twins = ["Zephyr Steel Ltd", "Zehpyr Steel Ltd", "Robert Mehta", "Robert Mehat", "Susan Gupta", "Susan Gutpa", "Vexmora Cement Ltd", "Vexnora Cement Ltd", "Dawn Okra", "Dawn Okar", "Lismes Kuvpobkos Bank", "Ilsmes Kuvopbkso Bank"]
-    df = spark.createDataFrame([(f"{n:02d}", t, None) for n, t in enumerate(twins)], "id string, canonical_name string, aliases_json string")
-    assert {tuple(x) for x in names.variant_pairs(df).collect()} == {(f"{n:02d}", f"{n + 1:02d}") for n in range(0, len(twins), 2)}
+    got, want = name_pairs(spark, [twins[n : n + 2] for n in range(0, len(twins), 2)])
+    assert got == want
 
 
 def test_short_names_match_exactly(spark):
