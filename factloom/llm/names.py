@@ -143,8 +143,23 @@ def read_form(spelling: str) -> str | None:
     return " ".join([*content, *sorted(numbers)]) + (" ~" if len(content) == 1 and not legal else "")
 
 
-def words_of(form: str) -> list[str]:
-    return [t for t in form.split(" ") if t[0] not in "#~"]
+@lru_cache(maxsize=100_000)
+def words_of(form: str) -> tuple[str, ...]:
+    return tuple(t for t in form.split(" ") if t[0] not in "#~")
+
+
+@lru_cache(maxsize=100_000)
+def numbers_of(form: str) -> tuple[str, ...]:
+    return tuple(t for t in form.split(" ") if t[0] == "#")
+
+
+@lru_cache(maxsize=100_000)
+def letters_of(word: str) -> int:
+    """The word's set of letters, as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
 
 
 def slips(size: int) -> int:
@@ -218,6 +233,8 @@ class Matcher:
             for u in us:
                 if 5 <= len(t) < len(u):
                     self.shorts.setdefault(u, []).append(t)
+        #: words that may stand for one of another first letter
+        self.special = {*known.synonyms, *(u for us in known.synonyms.values() for u in us), *NICKNAMES, *GIVEN}
         self.pair = lru_cache(maxsize=300_000)(self._pair)
 
     def weight(self, t: str) -> float:
@@ -227,6 +244,11 @@ class Matcher:
         """Similarity of two words, and which of them is the weak one (-1 t, 1 u, 0 neither)."""
         if t == u:
             return 1.0, 0
+        size = min(len(t), len(u))
+        # every slip changes at most two letters of a word's set of letters
+        near_letters = abs(len(t) - len(u)) <= 3 and (letters_of(t) ^ letters_of(u)).bit_count() <= 2 * max(slips(size), 2)
+        if t[0] != u[0] and not near_letters and (t not in self.special or u not in self.special):
+            return 0.0, 0
         if self.known.one_way(t, u):
             return 0.95, 0
         full_t, full_u = NICKNAMES.get(t, t), NICKNAMES.get(u, u)
@@ -235,15 +257,17 @@ class Matcher:
         if full_t in GIVEN and full_u in GIVEN:
             return 0.0, 0
         n_t, n_u = self.known.common.get(t, 0), self.known.common.get(u, 0)
-        if not (n_t and n_u):
+        if near_letters and not (n_t and n_u):
             near = same_word(t, u)
             if near:
                 return near, 0
-            if any(same_word(u, s) for s in self.shorts.get(t, ())) or any(same_word(t, s) for s in self.shorts.get(u, ())):
-                return 0.9, 0
-            size = min(len(t), len(u))
             if 5 <= size < 7 and t[0] == u[0] and not (n_t or n_u or t in GIVEN or u in GIVEN) and edits(t, u, 2) is not None:
                 return LOOSE, 0
+        if t in self.shorts or u in self.shorts:
+            if any(same_word(u, s) for s in self.shorts.get(t, ())) or any(same_word(t, s) for s in self.shorts.get(u, ())):
+                return 0.9, 0
+        if t[0] != u[0] and full_t[0] != full_u[0]:
+            return 0.0, 0
         for a, b, n_a, n_b, side in ((t, u, n_t, n_u, -1), (u, t, n_u, n_t, 1)):
             # an initial is that of the full given name; two words about as common as each other are two words
             if abbreviates(a, NICKNAMES.get(b, b) if len(a) == 1 else b) and not (n_a and n_b and not b.startswith(a) and n_a * 1.5 > n_b):
@@ -260,7 +284,7 @@ class Matcher:
         """
         if x == y:
             return 1.0, 0
-        if [t for t in x.split(" ") if t[0] == "#"] != [t for t in y.split(" ") if t[0] == "#"]:
+        if numbers_of(x) != numbers_of(y):
             return 0.0, 0
         a, b = words_of(x), words_of(y)
         left, right = set(range(len(a))), set(range(len(b)))
@@ -281,10 +305,16 @@ class Matcher:
                             break
         ranks_a, ranks_b = _initial_ranks(a), _initial_ranks(b)
         scores = []
-        for i in left:
-            for j in right:
+        for i in sorted(left):  # equal words are for each other
+            for j in sorted(right):
+                if a[i] == b[j] and (len(a[i]) > 1 or None in (ranks_a[i], ranks_b[j]) or ranks_a[i] == ranks_b[j]):
+                    scores.append((-1.0, i, j, 0))
+                    break
+        paired, other = {i for _, i, _, _ in scores}, {j for _, _, j, _ in scores}
+        for i in left - paired:
+            for j in right - other:
                 s, side = self.pair(a[i], b[j])
-                if not s or (len(a[i]) == 1 == len(b[j]) and None not in (ranks_a[i], ranks_b[j]) and ranks_a[i] != ranks_b[j]):
+                if not s or (len(a[i]) == 1 == len(b[j]) and a[i] == b[j]):
                     continue
                 if (side == -1 and len(a[i]) == 1 and ranks_a[i] == 1) or (side == 1 and len(b[j]) == 1 and ranks_b[j] == 1):
                     continue
@@ -331,7 +361,8 @@ class Matcher:
         return matched / total, weak.pop() if weak else 0
 
 
-def _initial_ranks(words: list[str]) -> list[int | None]:
+@lru_cache(maxsize=100_000)
+def _initial_ranks(words: tuple[str, ...]) -> list[int | None]:
     """For single letters 0 if a name's first initial, 1 if a later one, None if either; None for words."""
     long = [t for t in words if len(t) > 1]
     named = any(NICKNAMES.get(t, t) in GIVEN for t in long)
@@ -346,7 +377,7 @@ def _initial_ranks(words: list[str]) -> list[int | None]:
     return out
 
 
-def _initials(t: str, words: list[str], places: list[int]) -> list[int]:
+def _initials(t: str, words: tuple[str, ...], places: list[int]) -> list[int]:
     """Neighbouring places of which t is the initials, filler words' initials allowed between; else []."""
     for k in range(len(places)):
         for m in range(len(places), k + 1, -1):
