@@ -54,7 +54,7 @@ DIMENSIONLESS = (
 
 def plain_minus(quote: Column) -> Column:
     """One kind of minus sign, next to its number."""
-    s = F.replace(quote, F.lit("(-)"), F.lit("-"))
+    s = F.regexp_replace(quote, r"\(\s*-\s*\)", "-")
     return F.regexp_replace(F.translate(s, "−–—", "---"), r"-\s+(?=\d)", "-")
 
 
@@ -170,3 +170,13 @@ def metadata_reason(quote: Column) -> Column:
     text = norm(F.coalesce(quote, F.lit("")))
     left = F.length(strip(F.regexp_replace(text, HEADER_START, "")))
     return F.when(text.rlike(HEADERS) & (left < 30), F.lit("Value likely extracted from document metadata, not a data point"))
+
+
+def grounding_reasons(kind: Column, value: Column, value_text: Column, label: Column, concept: Column, source: Column, status: Column, quote: Column) -> Column:
+    """Every check's reason, in order; an empty array if the claim is grounded."""
+    return F.array_compact(
+        F.array(
+            value_reason(kind, value, quote), period_reason(label, quote), concept_reason(concept, source, quote),
+            status_reason(status, concept, label, value, value_text, quote), metadata_reason(quote),
+        )
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import has_any, lookup, norm, one_of
+from factloom.functions.text import has_any, is_set, lookup, norm, one_of
 
 # Other names of entities and concepts.
 ENTITY_NAMES = {
@@ -50,6 +50,19 @@ def canonical_concept(name: Column) -> Column:
     return F.coalesce(lookup(key, CONCEPT_NAMES), key)
 
 
+def alias_list(c: Column) -> Column:
+    """array<string>: a JSON list, a list in quotes of either kind, or items with semicolons; null if there are none."""
+    s = F.trim(c)
+    quoted = F.filter(F.split(F.substring(s, F.lit(3), F.length(s) - 4), "['\"], *['\"]"), lambda x: x != "")
+    items = F.filter(F.transform(F.split(s, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return (
+        F.when(~is_set(s) | s.isin("[]", "null"), F.lit(None))
+        .when(s.startswith('["'), F.from_json(s, "array<string>"))
+        .when(s.startswith("['") & s.endswith("]"), quoted)
+        .when(~s.startswith("["), items)
+    )
+
+
 def family_roles(name: Column) -> Column:
     """array<struct<family, role>>: a concept's places in the families; L goes with R, and B with B."""
     name = norm(name)

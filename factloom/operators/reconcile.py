@@ -3,10 +3,15 @@
 Everything about one observation is computed before the join.  Pairs are found by equi-joins alone: on
 entity, value type, concept (through the small table of related concepts) and a period block, so an
 entity with a large share of all rows falls apart into many small blocks.
+
+Observations that agree in all the cascade looks at are one class: ``class_verdicts`` gives the verdicts between
+classes with the number of pairs each stands for, ``reconcile`` the pairs themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from factloom.functions.names import canonical_concept, canonical_entity, family
 from factloom.functions.periods import compare_periods, fiscal_year_of, with_period
 from factloom.functions.text import is_set, norm
 from factloom.functions.units import MONEY, NUMERIC, approximately_equal, relative_difference, with_value
+from factloom.sources.artifacts import ask
 
 # Each verdict's relationship type, confidence and reasons.
 VERDICTS = {
@@ -47,20 +53,28 @@ def with_names(obs: DataFrame, entities: DataFrame, concepts: DataFrame) -> Data
 
 
 def prepare(obs: DataFrame) -> DataFrame:
-    """What the gate and the cascade need to know of one observation (with entity and concept names)."""
+    """What the gate and the cascade need to know of one observation (with entity and concept names).
+
+    Optional columns: entity_aliases array<string>, source_label.
+    """
     explicit = F.col("period_start").isNotNull()
+    aliases = F.col("entity_aliases") if "entity_aliases" in obs.columns else F.array().cast("array<string>")
+    label = F.col("source_label") if "source_label" in obs.columns else F.lit(None).cast("string")
+    every = F.concat(F.array("entity_name"), F.coalesce(aliases, F.array().cast("array<string>")))
     named = {
         "period_type": F.coalesce("period_type", F.lit("custom")),
         "assertion_status": F.coalesce("assertion_status", F.lit("unknown")),
         "needs_review": F.coalesce("needs_review", F.lit(False)),
-        "entity_key": canonical_entity(F.col("entity_name")),
+        "entity_keys": F.array_distinct(F.filter(F.transform(every, canonical_entity), lambda k: k.isNotNull())),
         "concept_key": canonical_concept(F.col("concept_name")),
+        "label_key": F.nullif(canonical_concept(label), F.lit("")),
         "numeric": F.col("value_type").isin(*NUMERIC),
         **scope_keys(F.col("consolidation"), F.col("geography"), F.col("scope_level")),
     }
     out = with_period(with_value(obs.withColumns(named))).select(
         "id", "document_id", "session_id", "entity_id", "concept_id", "value_type", "unit", "geography", "scope_level", "consolidation",
-        "period_type", "assertion_status", "needs_review", "period_label", "entity_name", "concept_name", "entity_key", "concept_key",
+        "period_type", "assertion_status", "needs_review", "period_label", "entity_name", "concept_name", "entity_keys", "concept_key", "label_key",
+        F.xxhash64("concept_id", "concept_name", "label_key").alias("concept_code"),
         "numeric", "amount", "n_amount", "n_unit", "s_cons", "s_raw", "geo", "s_level", "period_key",
         F.when(explicit, F.col("period_start")).otherwise(F.col("label_start")).alias("start"),
         F.when(explicit, F.col("period_end")).otherwise(F.col("label_end")).alias("end"),
@@ -69,20 +83,24 @@ def prepare(obs: DataFrame) -> DataFrame:
 
 
 def concept_pairs(prepared: DataFrame) -> DataFrame:
-    """(name_a, name_b, same_concept): pairs of distinct concept names that are one concept or siblings.
+    """(code_a, code_b, same_concept): pairs of distinct concepts that are one or siblings.
 
-    By equi-joins on the canonical name and on the family and role, so it needs no bound on the names.
+    Two ids decide alone; else canonical names must agree, or the label of one with the name of the other.
+    By equi-joins on id, name, label, and on the family and role, so it needs no bound on the concepts.
     """
-    names = prepared.select("concept_name", "concept_key").where("concept_key is not null").distinct()
-    a = names.select(F.col("concept_name").alias("name_a"), F.col("concept_key").alias("key_a"))
-    b = names.select(F.col("concept_name").alias("name_b"), F.col("concept_key").alias("key_b"))
-    same = a.join(b, F.col("key_a") == F.col("key_b")).select("name_a", "name_b", F.lit(True).alias("same_concept"))
-    roles = names.select("concept_name", "concept_key", F.explode(family_roles(F.col("concept_name"))).alias("r"))
-    left = roles.select(F.col("concept_name").alias("name_a"), F.col("concept_key").alias("key_a"), "r.family", "r.role")
-    partner = F.translate("r.role", "LRB", "RLB")
-    right = roles.select(F.col("concept_name").alias("name_b"), F.col("concept_key").alias("key_b"), "r.family", partner.alias("role"))
-    siblings = left.join(right, ["family", "role"]).where((F.col("key_a") != F.col("key_b")) & (norm(F.col("name_a")) != norm(F.col("name_b"))))
-    return same.union(siblings.select("name_a", "name_b", F.lit(False)).distinct())
+    fields = {"concept_code": "code", "concept_id": "cid", "concept_name": "name", "concept_key": "key", "label_key": "label"}
+    every = prepared.select(*(F.col(c).alias(n) for c, n in fields.items())).distinct()
+    a, b = _side(every, "a"), _side(every, "b")
+    without_ids = F.col("cid_a").isNull() | F.col("cid_b").isNull()
+    both = lambda on: a.join(b, on).select("code_a", "code_b")
+    same = both(F.col("cid_a") == F.col("cid_b")).union(both((F.col("key_a") == F.col("key_b")) & without_ids))
+    same = same.union(both((F.col("label_a") == F.col("key_b")) & without_ids)).union(both((F.col("key_a") == F.col("label_b")) & without_ids)).distinct()
+    roles = every.select("code", "name", F.explode(family_roles(F.col("name"))).alias("r"))
+    left = roles.select(F.col("code").alias("code_a"), F.col("name").alias("name_a"), "r.family", "r.role")
+    right = roles.select(F.col("code").alias("code_b"), F.col("name").alias("name_b"), "r.family", F.translate("r.role", "LRB", "RLB").alias("role"))
+    siblings = left.join(right, ["family", "role"]).where(norm(F.col("name_a")) != norm(F.col("name_b"))).select("code_a", "code_b").distinct()
+    siblings = siblings.join(same, ["code_a", "code_b"], "left_anti")
+    return same.withColumn("same_concept", F.lit(True)).union(siblings.withColumn("same_concept", F.lit(False)))
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
@@ -108,25 +126,50 @@ def unit_clash(a: Column, b: Column, numeric: Column) -> Column:
     return F.coalesce(numeric & (a != "") & (b != "") & (a != b) & ~both_money, F.lit(False))
 
 
-def gated_pairs(prepared: DataFrame, left: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
+def _entities(p: DataFrame, by_names: bool) -> DataFrame:
+    """Adds the keys on which entities meet: the id, and with ``by_names`` the names of one without an id."""
+    if not by_names:
+        return p.withColumn("meets", F.col("entity_id"))
+    names = F.transform("entity_keys", lambda k: F.concat(F.lit("n"), k))
+    return p.withColumn("meets", F.explode(F.array_compact(F.concat(F.array(F.concat(F.lit("i"), F.col("entity_id"))), names))))
+
+
+def _same_entity(by_names: bool) -> Column:
+    """Two ids decide alone; else some name or alias must agree, and the first that does brings the pair."""
+    if not by_names:
+        return F.lit(True)
+    shared = F.array_min(F.array_intersect("entity_keys_a", "entity_keys_b"))
+    with_ids = F.col("entity_id_a").isNotNull() & F.col("entity_id_b").isNotNull()
+    return F.when(with_ids, F.col("meets_a").startswith("i")).otherwise(F.col("meets_a") == F.concat(F.lit("n"), shared))
+
+
+def _periods_of(s: str) -> list[Column]:
+    return [F.col(f"{c}_{s}") for c in ("start", "end", "period_key")]
+
+
+def _once() -> Column:
+    """Periods that share several years meet in the first of them alone."""
+    return ~F.col("block_a").startswith("D") | (F.col("block_a") == F.concat(F.lit("D"), F.greatest("first_year_a", "first_year_b").cast("string")))
+
+
+def gated_pairs(prepared: DataFrame, left: DataFrame | None = None, keep: Column | None = None, by_names: bool = False) -> DataFrame:
     """Pairs that pass the candidate gate, as columns ..._a and ..._b with same_concept and period.
 
     Without ``left``: all pairs with the smaller id first.  With ``left``: its rows against ``prepared``,
     as new against stored, without pairs of a row with itself.  ``keep``: a further condition on a pair.
+    ``by_names``: observations without an entity id are matched by names and aliases.
     """
     related = concept_pairs(prepared if left is None else prepared.unionByName(left))
-    sound = prepared.where("not needs_review")
-    a = _side(_blocks(sound if left is None else left.where("not needs_review"), True), "a")
+    sound = _entities(prepared.where("not needs_review"), by_names)
+    a = _side(_blocks(sound if left is None else _entities(left.where("not needs_review"), by_names), True), "a")
     b = _side(_blocks(sound, False), "b")
     order = F.col("id_a") < F.col("id_b") if left is None else F.col("id_a") != F.col("id_b")
-    # periods that share several years meet in the first of them alone
-    once = ~F.col("block_a").startswith("D") | (F.col("block_a") == F.concat(F.lit("D"), F.greatest("first_year_a", "first_year_b").cast("string")))
-    period = compare_periods(*(F.col(c) for c in ("start_a", "end_a", "period_key_a", "start_b", "end_b", "period_key_b")))
-    with_related = a.join(related, F.col("concept_name_a") == F.col("name_a"))
+    period = compare_periods(*_periods_of("a"), *_periods_of("b"))
+    with_related = a.join(related, F.col("concept_code_a") == F.col("code_a"))
     on = [
-        F.col("entity_id_a") == F.col("entity_id_b"), F.col("value_type_a") == F.col("value_type_b"),
-        F.col("name_b") == F.col("concept_name_b"), F.col("block_a") == F.col("block_b"), order,
-        once, ~unit_clash(F.col("n_unit_a"), F.col("n_unit_b"), F.col("numeric_a")),
+        F.col("meets_a") == F.col("meets_b"), F.col("value_type_a") == F.col("value_type_b"),
+        F.col("code_b") == F.col("concept_code_b"), F.col("block_a") == F.col("block_b"), order, _same_entity(by_names),
+        _once(), ~unit_clash(F.col("n_unit_a"), F.col("n_unit_b"), F.col("numeric_a")),
         F.coalesce(F.col("geo_a") == F.col("geo_b"), F.lit(True)), period != "different",
     ]
     if keep is not None:
@@ -134,50 +177,95 @@ def gated_pairs(prepared: DataFrame, left: DataFrame | None = None, keep: Column
     condition = on[0]
     for x in on[1:]:
         condition = condition & x
-    return with_related.join(b, condition).withColumn("period", period).drop("name_a", "name_b", "block_a", "block_b")
+    return with_related.join(b, condition).withColumn("period", period).drop("code_a", "code_b", "block_a", "block_b", "meets_a", "meets_b")
 
 
 def gate_reasons(prepared: DataFrame) -> DataFrame:
     """(reason, pairs): how many of all pairs (smaller id first) each gate turns away or lets pass.
 
-    Pairs are counted, never formed: what the gates look at is the same for many observations, so these
-    are counted by signature first, and early gates follow from group sizes.
+    Pairs are counted, never formed.  Every gate's survivors are counted over groups of what the gates so far
+    look at: by entity and value type, then unit, geography, period (in period blocks), concept (by related
+    concepts and blocks).  A gate turns away the difference.  So no join is wider than the values that occur.
     """
     n = F.col("n").cast("double")
-    pairs = lambda df: df.select(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("pairs"))
     count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")) if by else df.agg(F.count("*").alias("n"))
+    within = lambda name, df: df.select(F.lit(name).alias("stage"), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("pairs"))
     sound = prepared.where("not needs_review")
-    signature = ["entity_id", "value_type", "numeric", "n_unit", "geo", "start", "end", "period_key", "concept_name", "concept_key"]
-    s = count(sound, *signature)
-    a, b = _side(s, "a"), _side(s, "b")
-    related = concept_pairs(prepared)
-    # signatures are few an entity; compared within entity and value type
-    joined = a.join(b, (F.col("entity_id_a") == F.col("entity_id_b")) & (F.col("value_type_a") == F.col("value_type_b")))
-    joined = joined.join(
-        related, (F.col("concept_name_a") == F.col("name_a")) & (F.col("concept_name_b") == F.col("name_b")), "left"
-    )
-    period = compare_periods(*(F.col(c) for c in ("start_a", "end_a", "period_key_a", "start_b", "end_b", "period_key_b")))
-    reason = (
-        F.when(unit_clash(F.col("n_unit_a"), F.col("n_unit_b"), F.col("numeric_a")), "unit_incompatible")
-        .when(F.coalesce(F.col("geo_a") != F.col("geo_b"), F.lit(False)), "geography_mismatch")
-        .when(period == "different", "different_period")
-        .when(F.col("same_concept"), "identical_concept")
-        .when(F.col("same_concept").isNotNull(), "related_sibling_concept")
-        .otherwise("concept_mismatch")
-    )
-    equal = F.lit(True)
-    for c in signature:
-        equal = equal & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    typed = ["entity_id", "value_type"]
+    by_unit = [*typed, "numeric", "n_unit"]
+    by_place = [*by_unit, "geo"]
+    by_period = [*by_place, "start", "end", "period_key"]
+    units = ~unit_clash(F.col("n_unit_a"), F.col("n_unit_b"), F.col("numeric_a"))
+    places = units & F.coalesce(F.col("geo_a") == F.col("geo_b"), F.lit(True))
+    periods = places & (compare_periods(*_periods_of("a"), *_periods_of("b")) != "different") & _once()
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    # both directions of different signatures occur, so each counts half
-    weight = F.when(equal, na * (na - 1) / 2).otherwise(na * nb / 2)
-    late = joined.groupBy(reason.alias("reason")).agg(F.sum(weight).alias("pairs"))
-    every, ok = pairs(count(prepared)), pairs(count(sound))
-    one = pairs(count(sound, "entity_id"))
-    typed = pairs(count(sound, "entity_id", "value_type"))
-    less = lambda x, y, name: x.crossJoin(y.withColumnRenamed("pairs", "p")).select(F.lit(name).alias("reason"), (F.col("pairs") - F.col("p")).alias("pairs"))  # noqa: E731  (single rows)
-    early = less(every, ok, GATES[0]).union(less(ok, one, GATES[1])).union(less(one, typed, GATES[2]))
-    return early.union(late).where("pairs > 0").select("reason", F.col("pairs").cast("long").alias("pairs"))
+    # both directions of different groups occur, so each counts half
+    weight = F.sum(F.when(F.col("group_a") == F.col("group_b"), na * (na - 1) / 2).otherwise(na * nb / 2))
+
+    def between(by: list[str], passes: Column, blocked: bool) -> DataFrame:
+        groups = count(sound, *by).withColumn("group", F.struct(*by).cast("string"))
+        a, b = (_side(_blocks(groups, left) if blocked else groups, s) for left, s in ((True, "a"), (False, "b")))
+        on = passes
+        for c in [*typed, "block"] if blocked else typed:
+            on = (F.col(f"{c}_a") == F.col(f"{c}_b")) & on
+        if "concept_code" in by:
+            a = a.join(concept_pairs(prepared), F.col("concept_code_a") == F.col("code_a"))
+            on = (F.col("code_b") == F.col("concept_code_b")) & on
+        return a.join(b, on)
+
+    stage = lambda name, by, passes, blocked=False: between(by, passes, blocked).agg(F.coalesce(weight, F.lit(0.0)).alias("pairs")).select(F.lit(name).alias("stage"), "pairs")
+    concepts = between([*by_period, "concept_code"], periods, True)
+    concepts = concepts.groupBy(F.when(F.col("same_concept"), "identical_concept").otherwise("related_sibling_concept").alias("stage")).agg(weight.alias("pairs"))
+    stages = (
+        within("every", count(prepared)).union(within("sound", count(sound))).union(within("entity", count(sound, "entity_id")))
+        .union(within("type", count(sound, *typed))).union(stage("unit", by_unit, units)).union(stage("place", by_place, places))
+        .union(stage("period", by_period, periods, True)).union(concepts)
+    )
+    value = lambda name: F.coalesce(F.max(F.when(F.col("stage") == name, F.col("pairs"))), F.lit(0.0))
+    steps = ("every", "sound", "entity", "type", "unit", "place", "period")
+    last = ("identical_concept", "related_sibling_concept")
+    row = stages.agg(*(value(x).alias(x) for x in (*steps, *last)))
+    lost = [F.struct(F.lit(g).alias("reason"), (F.col(x) - F.col(y)).alias("pairs")) for g, x, y in zip(GATES, steps, steps[1:], strict=False)]
+    kept = [F.struct(F.lit(x).alias("reason"), F.col(x).alias("pairs")) for x in last]
+    rest = F.struct(F.lit("concept_mismatch").alias("reason"), (F.col("period") - F.col(last[0]) - F.col(last[1])).alias("pairs"))
+    out = row.select(F.explode(F.array(*lost, *kept, rest)).alias("r")).select("r.reason", F.round("r.pairs").cast("long").alias("pairs"))
+    return out.where("pairs > 0")
+
+
+#: All the cascade looks at in one observation.
+CLASS = [
+    "entity_id", "value_type", "concept_id", "concept_name", "concept_key", "label_key", "concept_code", "numeric", "n_amount", "n_unit", "unit", "s_cons", "s_raw", "geo",
+    "s_level", "period_key", "period_type", "start", "end", "assertion_status",
+]
+
+
+def classes(prepared: DataFrame, *further: str) -> DataFrame:
+    """Sound observations by class: its columns, ``id`` (the smallest of its observations), ``members``."""
+    rows = prepared.where("not needs_review").groupBy(*CLASS, *further).agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    return rows.withColumn("needs_review", F.lit(False))
+
+
+def class_members(prepared: DataFrame) -> DataFrame:
+    """(id, class_id) of every sound observation."""
+    sound = prepared.where("not needs_review").select("id", F.struct(*CLASS).cast("string").alias("c"))
+    return sound.join(sound.groupBy("c").agg(F.min("id").alias("class_id")), "c").select("id", "class_id")
+
+
+def class_verdicts(prepared: DataFrame, strict_code_order: bool = False) -> DataFrame:
+    """(class_a, class_b, verdict, links): the verdicts between classes, the smaller id first, and within them.
+
+    ``links`` is the number of pairs of observations a row stands for; nothing is lost and no pair is formed
+    within a class.  Observations without an entity id have none.
+    """
+    c = classes(prepared)
+    between = gated_pairs(c).withColumn("links", F.col("members_a") * F.col("members_b"))
+    own = c.where("members > 1 and entity_id is not null and value_type is not null and concept_key is not null")
+    # joined with itself: two names for each column of one row would multiply the optimiser's constraints
+    twice = _side(own, "a").join(_side(own, "b"), F.col("id_a") == F.col("id_b"))
+    twice = twice.withColumns({"same_concept": F.lit(True), "period": compare_periods(*_periods_of("a"), *_periods_of("b")), "links": F.col("members_a") * (F.col("members_a") - 1) / 2})
+    every = between.select(*between.columns).unionByName(twice.where("period <> 'different'").withColumn("links", F.col("links").cast("long")), allowMissingColumns=True)
+    judged = signature(every).withColumn("verdict", verdict(strict_code_order)).where("verdict is not null")
+    return judged.select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "verdict", "links")
 
 
 def signature(p: DataFrame) -> DataFrame:
@@ -237,12 +325,56 @@ def verdict(strict_code_order: bool = False) -> Column:
     )
 
 
+# The offline judge's types, confidences and reasons.
+OPINIONS = {
+    "contextualized": (0.88, ["different_concept_definitions", "semantic_contextualization"]),
+    "corroborated": (0.92, ["textual_equivalence", "qualitative_corroboration"]),
+    "unresolved": (0.75, ["unresolved_semantic_nuance", "insufficient_grounding"]),
+}
+
+
 def judge(names_differ: Column, text_a: Column, text_b: Column) -> Column:
     """The offline judge of pairs the cascade leaves open: its relationship type."""
     same = is_set(text_a) & is_set(text_b) & (F.lower(text_a) == F.lower(text_b))
     return F.when(names_differ, "contextualized").when(F.coalesce(same, F.lit(False)), "corroborated").otherwise("unresolved")
 
 
+def open_pairs(prepared: DataFrame, texts: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """Gated pairs that the cascade leaves open, with the text values (id, text_value) of both ends."""
+    rest = signature(gated_pairs(prepared, left)).withColumn("verdict", verdict()).where("verdict is null")
+    side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text_value").alias(f"text_{s}"))
+    return rest.join(side("a"), "id_a", "left").join(side("b"), "id_b", "left")
+
+
+def judged_pairs(pairs: DataFrame, call: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Relationships of open pairs: an injected model's opinion, else, and where it fails, the offline judge's.
+
+    ``call`` answers a prompt with JSON of relationship_type, confidence, explanation and reasons.
+    """
+    kind = judge(F.col("concept_name_a") != F.col("concept_name_b"), F.col("text_a"), F.col("text_b"))
+    table = F.create_map(*(x for k, (c, r) in OPINIONS.items() for x in (F.lit(k), F.struct(F.lit(c).alias("confidence"), F.array(*map(F.lit, r)).alias("reasons")))))
+    why = (
+        F.when(F.col("kind") == "contextualized", F.concat(F.lit("'"), F.col("concept_name_a"), F.lit("' and '"), F.col("concept_name_b"), F.lit("' are related, not identical: each gives the other context.")))
+        .when(F.col("kind") == "corroborated", F.concat(F.lit("Both sources say the same of '"), F.col("entity_name_a"), F.lit("'.")))
+        .otherwise(F.lit("Same entity, but different or missing wording allows no conclusion."))
+    )
+    line = lambda s: F.concat_ws(" | ", f"entity_name_{s}", f"concept_name_{s}", F.coalesce(F.col(f"n_amount_{s}").cast("string"), f"text_{s}"), f"period_label_{s}", f"assertion_status_{s}")
+    rows = pairs.select(
+        F.concat_ws("_", F.lit("rel"), F.least("id_a", "id_b"), F.greatest("id_a", "id_b")).alias("id"), F.col("id_a").alias("observation_a"), F.col("id_b").alias("observation_b"),
+        kind.alias("kind"), "concept_name_a", "concept_name_b", "entity_name_a", F.concat(F.lit("A: "), line("a"), F.lit("\nB: "), line("b")).alias("prompt"),
+    ).withColumns({"o": F.element_at(table, F.col("kind")), "why": why})
+    offline = rows.select("id", "observation_a", "observation_b", F.col("kind").alias("relationship_type"), "o.confidence", "o.reasons", F.col("why").alias("explanation"))
+    if call is None:
+        return offline
+    answers = ask(rows.select("id", "prompt"), call, key="id").select("id", F.from_json("answer", "relationship_type string, confidence double, explanation string, reasons array<string>").alias("m"))
+    kinds = F.col("m.relationship_type").isin("corroborated", "contradicted", "contextualized", "apparent_contradiction", "not_comparable", "unresolved")
+    sound = F.coalesce(kinds & F.col("m.confidence").between(0, 1) & F.col("m.reasons").isNotNull() & F.col("m.explanation").isNotNull(), F.lit(False))
+    said = answers.where(sound).select("id", "m")
+    pick = lambda c: F.coalesce(f"m.{c}", c).alias(c)
+    told = offline.join(said, "id", "left").withColumn("explanation", F.coalesce(F.concat(F.lit("[LLM Semantic Judge]: "), "m.explanation"), "explanation"))
+    return told.select("id", "observation_a", "observation_b", pick("relationship_type"), pick("confidence"), pick("reasons"), "explanation")
+
+
 def explanation() -> Column:
     """One sentence on the verdict."""
     amount = lambda s: F.coalesce(F.col(f"n_amount_{s}").cast("string"), F.lit("none"))
@@ -259,13 +391,15 @@ def explanation() -> Column:
     )
 
 
-def reconcile(prepared: DataFrame, left: DataFrame | None = None, keep: Column | None = None, strict_code_order: bool = False) -> DataFrame:
+def reconcile(
+    prepared: DataFrame, left: DataFrame | None = None, keep: Column | None = None, strict_code_order: bool = False, by_names: bool = False
+) -> DataFrame:
     """Relationships of all comparable pairs: id, ends, type, confidence, reasons, comparability, numbers.
 
     Quarantined observations take part in none; each pair comes out at most once.  Null keys match nothing.
     An empty input gives an empty result.
     """
-    pairs = signature(gated_pairs(prepared, left, keep)).withColumn("verdict", verdict(strict_code_order)).where("verdict is not null")
+    pairs = signature(gated_pairs(prepared, left, keep, by_names)).withColumn("verdict", verdict(strict_code_order)).where("verdict is not null")
     table = F.create_map(
         *[
             x
@@ -297,3 +431,23 @@ def reconcile(prepared: DataFrame, left: DataFrame | None = None, keep: Column |
         F.col("document_id_b"),
     )
     return out
+
+
+def reconcile_documents(stored: DataFrame, new: DataFrame, mode: str = "cross", targets: list[str] | None = None) -> DataFrame:
+    """Relationships of new prepared observations, one edge an id, by mode.
+
+    intra: pairs within one of the new documents; cross: new against stored observations of other documents
+    (of ``targets`` alone if given); combined (or all): both.
+    """
+    if mode not in ("intra", "cross", "combined", "all"):
+        raise ValueError(f"unknown mode {mode}")
+    parts = []
+    if mode != "cross":
+        parts.append(reconcile(new, keep=F.col("document_id_a") == F.col("document_id_b")))
+    if mode != "intra":
+        pool = stored.where(F.col("document_id").isin(targets)) if targets else stored
+        parts.append(reconcile(pool, left=new, keep=~F.col("document_id_a").eqNullSafe(F.col("document_id_b"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates(["id"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.names import CONCEPT_NAMES, canonical_concept
 from factloom.operators import reconcile as R
 from factloom.plans import sql as S
+from factloom.plans.views import MONTH_START
 from factloom.sources.tables import read_table
 
 
@@ -33,9 +34,24 @@ def cascade_relationships(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("id", "observation_a", "observation_b", "relationship_type", "confidence", F.array_join("reasons", ";").alias("reasons"), "numeric.value_a", "numeric.value_b")
 
 
+def _by_type(verdicts: DataFrame) -> DataFrame:
+    kinds = F.create_map(*(F.lit(x) for k, v in R.VERDICTS.items() for x in (k, v[0])))
+    return verdicts.groupBy(F.element_at(kinds, F.col("verdict")).alias("relationship_type")).agg(F.sum("links").alias("pairs"))
+
+
 def verdict_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Relationships by type."""
-    return R.reconcile(prepared(spark, folder)).groupBy("relationship_type").agg(F.count("*").alias("pairs"))
+    """Relationships by type, counted over classes of equal observations."""
+    return _by_type(R.class_verdicts(prepared(spark, folder)))
+
+
+def cascade_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of observations that agree in all the cascade looks at: members and links of each."""
+    p = prepared(spark, folder)
+    members = R.class_members(p).groupBy("class_id").agg(F.count("*").alias("members"))
+    links = R.class_verdicts(p)
+    ends = links.select(F.col("class_a").alias("class_id"), "links").union(links.where("class_a <> class_b").select("class_b", "links"))
+    joined = members.join(ends.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
+    return joined.select("class_id", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def intra_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,18 +68,54 @@ def cross_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def strict_order_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts when the currency test comes after the hard discard, as the reference's code has it."""
-    return R.reconcile(prepared(spark, folder), strict_code_order=True).groupBy("verdict").agg(F.count("*").alias("pairs"))
+    return R.class_verdicts(prepared(spark, folder), strict_code_order=True).groupBy("verdict").agg(F.sum("links").alias("pairs"))
 
 
 def judge_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """The offline judge's types of gated pairs that the cascade leaves open."""
-    p = prepared(spark, folder)
+    """The offline judge's opinions of gated pairs that the cascade leaves open."""
     texts = R.latest(read_table(spark, folder, "observations")).select("id", "text_value")
-    open_pairs = R.signature(R.gated_pairs(p)).withColumn("verdict", R.verdict()).where("verdict is null")
-    side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text_value").alias(f"text_{s}"))
-    j = open_pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-    kind = R.judge(F.col("concept_name_a") != F.col("concept_name_b"), F.col("text_a"), F.col("text_b"))
-    return j.groupBy(kind.alias("relationship_type")).agg(F.count("*").alias("pairs"))
+    j = R.judged_pairs(R.open_pairs(prepared(spark, folder), texts))
+    return j.select("id", "relationship_type", "confidence", F.array_join("reasons", ";").alias("reasons"))
+
+
+def reconcile_combined(spark: SparkSession, folder: str) -> DataFrame:
+    """Relationships of late observations among themselves within documents, and against those of other documents stored before."""
+    obs = read_table(spark, folder, "observations")
+    e, c = read_table(spark, folder, "entities"), read_table(spark, folder, "concepts")
+    ready = lambda df: R.prepare(R.with_names(R.latest(df), e, c))
+    old, new = obs.where(F.col("ingested_at") < MONTH_START), obs.where(F.col("ingested_at") >= MONTH_START)
+    new = new.join(old.select("id").distinct(), "id", "left_anti").select(*obs.columns)
+    return R.reconcile_documents(ready(old), ready(new), "combined").select("id", "verdict")
+
+
+#: Pairs by their matching rules alone: (case, ids, names, aliases and labels of either side, whether they match).
+RULES = [
+    ("ids_equal", ("e1", "A", None, "c1", "sales", None), ("e1", "B", None, "c1", "margin", None), "identical"),
+    ("ids_differ", ("e1", "A", None, "c1", "sales", None), ("e2", "A", None, "c1", "sales", None), None),
+    ("name_without_id", (None, "RBI", None, None, "Sales", None), ("e2", "Reserve Bank of India", None, "c1", "revenue", None), "identical"),
+    ("alias_without_id", (None, "Acme", ["Acme Limited"], None, "x", None), (None, "acme limited ", ["Apex"], None, "X", None), "identical"),
+    ("two_shared_aliases", (None, "P", ["k", "m"], None, "x", None), (None, "Q", ["m", "k"], None, "x", None), "identical"),
+    ("no_shared_name", (None, "P", ["k"], None, "x", None), (None, "Q", ["n"], None, "x", None), None),
+    ("concept_ids_differ", ("e1", "A", None, "c1", "sales", None), ("e1", "A", None, "c2", "sales", None), None),
+    ("label_to_name", ("e1", "A", None, None, "operating income", "turnover"), ("e1", "A", None, "c2", "total revenue", None), "identical"),
+    ("label_to_label", ("e1", "A", None, None, "p", "turnover"), ("e1", "A", None, None, "q", "turnover"), None),
+    ("siblings", ("e1", "A", None, None, "real gdp growth", None), ("e1", "A", None, "c3", "services gva growth", None), "sibling"),
+]
+
+
+def matching_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Entity and concept matching by ids, names, aliases and labels, on cases stated with their outcome."""
+    rows = []
+    for name, *sides, _ in RULES:
+        for k, (eid, entity, aliases, cid, concept, label) in enumerate(sides):
+            rows.append((f"{name}|{k}", eid, cid, entity, concept, aliases, label))
+    schema = "id string, entity_id string, concept_id string, entity_name string, concept_name string, entity_aliases array<string>, source_label string"
+    other = "document_id session_id unit text_value period_type geography scope_level consolidation assertion_status"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(None).cast("string") for c in other.split()} | {"value_type": F.lit("number"), "value": F.lit(1.0), "period_label": F.lit("FY25"), "needs_review": F.lit(False)})
+    df = df.withColumns({c: F.lit(None).cast("date") for c in ("period_start", "period_end")})
+    case = lambda s: F.substring_index(f"id_{s}", "|", 1)
+    found = R.gated_pairs(R.prepare(df), by_names=True, keep=case("a") == case("b"))
+    return found.select(case("a").alias("case_name"), F.when(F.col("same_concept"), "identical").otherwise("sibling").alias("outcome"))
 
 
 def comparison_pool(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,21 +126,24 @@ def comparison_pool(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(total, "concept_id").groupBy("document_id").agg(F.sum(F.col("total") - F.col("n")).alias("pool"))
 
 
-def concept_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of concepts that are one or siblings."""
-    c = read_table(spark, folder, "concepts").select(F.col("canonical_name").alias("concept_name"))
-    pairs = R.concept_pairs(c.withColumn("concept_key", canonical_concept(F.col("concept_name"))))
-    return pairs.where("not same_concept").select("name_a", "name_b")
+def sibling_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of concepts that are siblings, by name."""
+    none = F.lit(None).cast("string")
+    c = read_table(spark, folder, "concepts").select("canonical_name").distinct()
+    c = c.select(none.alias("concept_id"), F.col("canonical_name").alias("concept_name"), canonical_concept(F.col("canonical_name")).alias("concept_key"), none.alias("label_key"))
+    c = c.withColumn("concept_code", F.xxhash64("concept_name"))
+    side = lambda s: c.select(F.col("concept_code").alias(f"code_{s}"), F.col("concept_name").alias(f"name_{s}"))
+    return R.concept_pairs(c).where("not same_concept").join(side("a"), "code_a").join(side("b"), "code_b").select("name_a", "name_b")
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            candidate_gate_reasons, cascade_verdicts, cascade_relationships, verdict_breakdown, intra_document_pairs, cross_document_pairs,
-            strict_order_verdicts, judge_fallback, comparison_pool,
+            candidate_gate_reasons, cascade_verdicts, cascade_relationships, verdict_breakdown, cascade_classes, intra_document_pairs, cross_document_pairs,
+            strict_order_verdicts, judge_fallback, reconcile_combined, matching_rules, comparison_pool, sibling_concepts,
         )
-    } | {"sibling_concepts": concept_pairs}
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -102,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN {S.CLASH} THEN 'unit_incompatible'
             WHEN coalesce(a.geo <> b.geo, false) THEN 'geography_mismatch'
             WHEN {S.compare_periods('a', 'b')} = 'different' THEN 'different_period'
-            WHEN a.concept_key = b.concept_key THEN 'identical_concept'
+            WHEN a.concept_id = b.concept_id THEN 'identical_concept'
             WHEN {S.sibling('a.concept_low', 'b.concept_low')} THEN 'related_sibling_concept'
             ELSE 'concept_mismatch' END AS reason FROM prepared a JOIN prepared b ON a.id < b.id)
             SELECT reason, count(*) AS pairs FROM pairs GROUP BY reason""",
@@ -120,9 +175,21 @@ def oracle_sql() -> dict[str, str]:
             WHERE verdict IS NOT NULL AND a.document_id <> b.document_id GROUP BY verdict""",
         "strict_order_verdicts": f"""{S.PAIRS} SELECT verdict, count(*) AS pairs FROM judged WHERE verdict IS NOT NULL
             AND NOT (money AND same_concept) GROUP BY verdict""",
-        "judge_fallback": f"""{S.PAIRS} SELECT CASE WHEN a.concept_name <> b.concept_name THEN 'contextualized'
+        "judge_fallback": f"""{S.PAIRS}, kind AS (SELECT 'rel_' || a.id || '_' || b.id AS id, CASE WHEN a.concept_name <> b.concept_name THEN 'contextualized'
             WHEN coalesce(a.text_value <> '' AND lower(a.text_value) = lower(b.text_value), false) THEN 'corroborated'
-            ELSE 'unresolved' END AS relationship_type, count(*) AS pairs FROM judged WHERE verdict IS NULL GROUP BY 1""",
+            ELSE 'unresolved' END AS relationship_type FROM judged WHERE verdict IS NULL)
+            SELECT id, relationship_type, CAST(CASE relationship_type WHEN 'contextualized' THEN 0.88 WHEN 'corroborated' THEN 0.92 ELSE 0.75 END AS DOUBLE) AS confidence,
+            CASE relationship_type WHEN 'contextualized' THEN 'different_concept_definitions;semantic_contextualization' WHEN 'corroborated' THEN 'textual_equivalence;qualitative_corroboration'
+            ELSE 'unresolved_semantic_nuance;insufficient_grounding' END AS reasons FROM kind""",
+        "cascade_classes": f"""{S.PAIRS}, c AS (SELECT id, min(id) OVER (PARTITION BY entity_id, value_type, concept_id, concept_name, numeric_value, n_amount, n_unit, unit,
+              CASE WHEN consolidation NOT IN ('', 'unknown') THEN lower(consolidation) END, lower(coalesce(consolidation, '')), geo, nullif({S.norm('scope_level')}, ''), p_key, period_type, d_start, d_end, assertion_status) AS class_id
+              FROM prepared WHERE NOT needs_review), p AS (SELECT x.class_id AS a, y.class_id AS b FROM judged JOIN c x ON x.id = a.id JOIN c y ON y.id = b.id WHERE verdict IS NOT NULL),
+            e AS (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p WHERE a <> b), l AS (SELECT class_id, count(*) AS links FROM e GROUP BY 1)
+            SELECT class_id, count(*) AS members, coalesce(any_value(links), 0) AS links FROM c LEFT JOIN l USING (class_id) GROUP BY class_id""",
+        "reconcile_combined": f"""{S.PAIRS.replace('FROM observations WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1', f"FROM (SELECT *, ingested_at >= TIMESTAMP '{MONTH_START}' AS late, bool_or(ingested_at < TIMESTAMP '{MONTH_START}') OVER (PARTITION BY id) AS known FROM observations WHERE id IS NOT NULL AND ingested_at IS NOT NULL) WHERE NOT (late AND known) QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1").replace('SELECT id, document_id, session_id, entity_id', 'SELECT id, late, document_id, session_id, entity_id')}
+            SELECT 'rel_' || a.id || '_' || b.id AS id, verdict FROM judged WHERE verdict IS NOT NULL AND ((a.late AND b.late AND a.document_id = b.document_id)
+            OR (a.late <> b.late AND a.document_id IS DISTINCT FROM b.document_id))""",
+        "matching_rules": "SELECT * FROM (VALUES " + ", ".join(f"({S.q(r[0])}, {S.q(r[3])})" for r in RULES if r[3]) + ") t(case_name, outcome)",
         "comparison_pool": f"""{S.OBSERVATIONS}, sound AS (SELECT document_id, concept_id FROM prepared WHERE NOT needs_review),
             per AS (SELECT document_id, concept_id, count(*) AS n FROM sound WHERE document_id IS NOT NULL GROUP BY ALL),
             total AS (SELECT concept_id, count(*) AS total FROM sound GROUP BY ALL)

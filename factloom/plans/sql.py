@@ -144,12 +144,21 @@ OBSERVATIONS = f"""WITH obs AS (
       CASE WHEN period_start IS NOT NULL THEN period_end ELSE p_end END AS d_end
     FROM named)"""
 
+def alias_list(c: str) -> str:
+    """VARCHAR[] of the three notations of aliases."""
+    s = f"trim({c})"
+    return f"""CASE WHEN {c} IS NULL OR {s} IN ('', '[]', 'null') THEN NULL
+        WHEN starts_with({s}, '["') THEN TRY_CAST(CAST({s} AS JSON) AS VARCHAR[])
+        WHEN starts_with({s}, '[''') AND ends_with({s}, ']') THEN list_filter(regexp_split_to_array(substr({s}, 3, length({s}) - 4), '[''"], *[''"]'), lambda x: x <> '')
+        WHEN NOT starts_with({s}, '[') THEN list_filter(list_transform(string_split({s}, ';'), lambda x: trim(x)), lambda x: x <> '') END"""
+
+
 CLASH = """coalesce(a.numeric_value AND a.n_unit <> '' AND b.n_unit <> '' AND a.n_unit <> b.n_unit
     AND NOT (a.n_unit IN ('INR', 'USD', 'EUR', 'GBP') AND b.n_unit IN ('INR', 'USD', 'EUR', 'GBP')), false)"""
 
 #: Pairs that pass the gate, with the cascade's verdict.
 PAIRS = f"""{OBSERVATIONS},
-  same_entity AS (SELECT a AS a, b AS b, {compare_periods('a', 'b')} AS period, a.concept_key = b.concept_key AS same_concept,
+  same_entity AS (SELECT a AS a, b AS b, {compare_periods('a', 'b')} AS period, a.concept_id = b.concept_id AS same_concept,
       {sibling('a.concept_low', 'b.concept_low')} AS siblings, {scope('a', 'b')} AS scope
     FROM prepared a JOIN prepared b ON a.entity_id = b.entity_id AND a.id < b.id AND a.value_type = b.value_type
     WHERE NOT a.needs_review AND NOT b.needs_review AND NOT {CLASH} AND coalesce(a.geo = b.geo, true)),

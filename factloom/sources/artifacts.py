@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import strip
+
 PAGES = "path string, page_number int, text string"
 ARTIFACT = """document struct<id: string, filename: string, dataset: string, document_type: string, file_hash: string, created_at: string, page_count: int, file_size: bigint>,
 chunks array<struct<id: string, document_id: string, page_number: int, section: string, content_type: string, text: string>>,
@@ -19,10 +21,11 @@ observations array<struct<id: string, entity: string, concept: string, value: do
 relationships array<struct<id: string, observation_a: string, observation_b: string, relationship_type: string, confidence: double>>"""
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files with path, size in MB (2 decimals), and content hash; the content is read only for the hash."""
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", hashed: bool = True) -> DataFrame:
+    """Files with path, size in MB (2 decimals) and, if wanted, content hash; the content is read only for the hash."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.sha2("content", 256).alias("file_hash"))
+    named = files.select("path", F.round(F.col("length") / 1048576, 2).alias("size_mb"), *([F.sha2("content", 256).alias("file_hash")] if hashed else []))
+    return named
 
 
 def read_pages(spark: SparkSession, folder: str, decode: Callable[[bytes], list[str]], pattern: str = "*.pdf") -> DataFrame:
@@ -76,10 +79,10 @@ def write_artifacts(documents: DataFrame, chunks: DataFrame, relationships: Data
 
 
 def transient(error: str) -> tuple[bool, str]:
-    """Whether a failed call is worth repeating, and why."""
+    """Whether a failed call is worth repeating, and why; a status is a number of its own."""
     low = error.lower()
-    for words, reason in ((("timeout", "timed out"), "timeout"), (("429", "rate limit"), "rate_limit"), (("500", "502", "503", "504"), "server"), (("connection", "reset"), "connection")):
-        if any(w in low for w in words):
+    for pattern, reason in ((r"timeout|timed out", "timeout"), (r"\b429\b|rate limit", "rate_limit"), (r"\b50[0234]\b", "server"), (r"connection|reset", "connection")):
+        if re.search(pattern, low):
             return True, reason
     return False, "permanent"
 
@@ -124,6 +127,8 @@ def ask(prompts: DataFrame, call: Callable[[str], str | None] | None, key: str =
 
 
 def batch_prompt(chunks: str = "chunks") -> Column:
-    """The text of a batch's chunks as a model reads them."""
-    head = lambda c: F.format_string("[CHUNK id=%s page=%d type=%s section=%s]\n%s\n[/CHUNK]\n", c["id"], c["page_number"], c["chunk_type"], c["section"], c["text"])
-    return F.array_join(F.transform(chunks, head), "\n")
+    """A batch (batch_id, section, page_start, page_end and its chunks) as a model reads it."""
+    head = F.format_string("=== BATCH %s | SECTION: %s | PAGES: %d - %d ===\n\n", "batch_id", "section", "page_start", "page_end")
+    kind, section = (lambda c: F.coalesce(c["chunk_type"], F.lit("text"))), (lambda c: F.coalesce(c["section"], F.lit("")))
+    each = lambda c: F.format_string('[CHUNK id="%s" page=%d type="%s" section="%s"]\n%s\n[/CHUNK]\n', c["id"], c["page_number"], kind(c), section(c), strip(F.coalesce(c["text"], F.lit(""))))
+    return F.concat(head, F.array_join(F.transform(chunks, each), "\n"))

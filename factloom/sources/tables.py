@@ -38,13 +38,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only a session on one machine (tests) may name none: a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm.get() if jvm.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

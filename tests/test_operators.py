@@ -70,16 +70,21 @@ def test_unit_identity(spark):
 def test_chunks_and_batches(spark):
     table = "Item   1   2   3   4"
     page = "\n\n".join(["INTRODUCTION", "a" * 1000, "b" * 600, table, "1.2 Next part", "c"])
-    chunks = D.fold_pages("d", [(1, page), (2, "line one\nline two"), (3, ""), (4, None)])
-    assert [(c[0], c[1], c[3]) for c in chunks] == [("chk_d_p1_0", 1, "text"), ("chk_d_p1_1", 1, "text"), ("chk_d_p1_2", 1, "table"), ("chk_d_p1_3", 1, "text"), ("chk_d_p2_4", 2, "text")]
-    assert chunks[0][2] == "INTRODUCTION" and chunks[3][2] == "1.2 Next part" and chunks[4][4] == "line one\n\nline two"
-    part = lambda n, page, section, size: dict(id=f"c{n}", page_number=page, section=section, text="x" * size)
-    b = D.fold_batches([part(0, 1, "A", 4000), part(1, 1, "B", 100), part(2, 7, "B", 100), part(3, 7, "B", 15_000), part(4, 7, "B", 0)])
-    assert [x[4] for x in b] == [["c0"], ["c1"], ["c2"], ["c3"]] and D.fold_batches([]) == []
-    pages = spark.createDataFrame([("d", 2, "line one\nline two"), ("d", 1, page), (None, 1, "x"), ("e", 1, None)], "document_id string, page_number int, text string")
+    pages = spark.createDataFrame([("d", 2, "line one\nline two"), ("d", 1, page), ("d", 3, ""), ("d", 4, None), (None, 1, "x"), ("e", 1, None)], "document_id string, page_number int, text string")
     out = D.chunk_pages(pages)
-    assert sorted(r["id"] for r in out.collect()) == sorted(c[0] for c in chunks)
+    chunks = sorted(map(tuple, out.collect()))
+    assert [(c[0], c[2], c[4]) for c in chunks] == [("chk_d_p1_0", 1, "text"), ("chk_d_p1_1", 1, "text"), ("chk_d_p1_2", 1, "table"), ("chk_d_p1_3", 1, "text"), ("chk_d_p2_4", 2, "text")]
+    assert chunks[0][3] == "INTRODUCTION" and chunks[3][3] == chunks[4][3] == "1.2 Next part" and chunks[4][5] == "line one\n\nline two"
+    # a heading names the blocks that wait before it, too
+    late = D.chunk_pages(spark.createDataFrame([("d", 1, "\n\n".join(["x" * 1400, "1 Heading", "y" * 200]))], "document_id string, page_number int, text string")).orderBy("id").collect()
+    assert [r["section"] for r in late] == ["1 Heading", "1 Heading"]
     assert D.build_batches(out).count() == 1 and D.chunk_pages(pages.limit(0)).count() == 0
+    part = lambda n, page, section, size: (f"c{n}", "d", page, section, "x" * size)
+    rows = [part(0, 1, "A", 4000), part(1, 1, "B", 100), part(2, 7, "B", 100), part(3, 7, None, 15_000), part(4, 7, "B", 0), part(5, 7, "General Information", 10)]
+    df = spark.createDataFrame(rows, "id string, document_id string, page_number int, section string, text string")
+    got = [(r["batch_id"], r["section"], r["chunk_ids"], r["total_chars"]) for r in D.build_batches(df).orderBy("batch_id").collect()]
+    assert got == [("batch_01", "A", ["c0"], 4000), ("batch_02", "B", ["c1"], 100), ("batch_03", "B", ["c2"], 100), ("batch_04", "B", ["c3"], 15_000), ("batch_05", "General Information", ["c5"], 10)]
+    assert D.build_batches(df.limit(0)).count() == 0
 
 
 def test_resolve_chunks(spark):
@@ -93,7 +98,9 @@ def test_views(spark):
     rels = spark.createDataFrame([("r", "1", "2", " Contradicted\n"), ("s", "1", "3", "corroborated"), ("t", None, "2", None)], "id string, observation_a string, observation_b string, relationship_type string")
     facts = {r["fact_key"]: (r["status"], r["observations"], r["relationships"]) for r in V.grouped_facts(obs, rels).collect()}
     assert facts == {"E::C": ("contradicted", 2, 1), "E::X": ("needs_review", 1, 0)}
-    o, e, r = V.rollback_document(obs, V.evidence_of(obs), rels, F.lit("d"))
+    evidence = obs.select(F.col("id").alias("observation_id"), "document_id", F.lit(1).alias("page_number"), F.lit("q").alias("quote"))
+    evidence = evidence.withColumn("id", V.evidence_id())
+    o, e, r = V.rollback_document(obs, evidence, rels, F.lit("d"))
     assert ({x["id"] for x in o.collect()}, e.count(), r.count()) == ({"3"}, 1, 0)
     assert {x["id"] for x in V.touching(rels, spark.createDataFrame([("3",)], "id string")).collect()} == {"s"}
     up = V.upsert(obs.select("id", "document_id"), spark.createDataFrame([("1", "new"), ("9", "z")], "id string, document_id string"))
@@ -102,6 +109,94 @@ def test_views(spark):
     assert [tuple(x) for x in new.collect()] == [("ent_b_b", "B b")]
 
 
+def test_evidence_keeps_an_observation(spark):
+    obs = spark.createDataFrame([("1", "d"), ("2", "d"), ("3", None)], "id string, document_id string")
+    ev = spark.createDataFrame([("1", "d", 1, "q"), ("1", "e", 2, "r"), ("2", "d", 1, None)], "observation_id string, document_id string, page_number int, quote string")
+    ev = ev.withColumns({"id": V.evidence_id(), "section": F.lit("s"), "chunk_id": F.lit(None).cast("string")})
+    assert len({r["id"] for r in ev.collect()}) == 3
+    o, e, _ = V.rollback_document(obs, ev, spark.createDataFrame([], "id string, observation_a string, observation_b string"), F.lit("d"))
+    assert {r["id"] for r in o.collect()} == {"1", "3"} and e.count() == 1
+    held = {r["id"]: r["evidence"] for r in V.with_evidence(obs, ev).collect()}
+    assert [x["quote"] for x in held["1"]] == ["q", "r"] and held["3"] == []
+    named = obs.withColumns({"entity_name": F.lit("Acme"), "concept_name": F.lit("Sales"), "needs_review": F.lit(None).cast("boolean"), "session_id": F.lit("s")})
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(V.observation_list(named, ev, document_id="e")) == {"1"} and ids(V.observation_list(named, document_id="all", entity="ACME")) == {"1", "2", "3"}
+    assert ids(V.comparison_candidates(named, ev, "d")) == {"3"} and ids(V.comparison_candidates(named, ev, "x", targets=["e"])) == {"1"}
+    known = spark.createDataFrame([("ent_x", "Other")], "id string, canonical_name string")
+    full = named.join(V.with_evidence(obs, ev).select("id", "evidence"), "id").withColumn("document_id", F.lit(None).cast("string"))
+    saved = V.save_observations(full, known, known.limit(0))
+    assert {(r["id"], r["entity_id"], r["document_id"]) for r in saved["observations"].collect()} == {("1", "ent_acme", "d"), ("2", "ent_acme", "d"), ("3", "ent_acme", None)}
+    assert saved["evidence"].count() == 3 and saved["entities"].count() == 2 and saved["concepts"].count() == 1
+
+
+def test_displays_and_small_changes(spark):
+    obs = spark.createDataFrame([("1", "Acme", "Sales", "FY25", "actual", False), ("2", "Beta", None, None, "forecast", None)], "id string, entity_name string, concept_name string, period_label string, assertion_status string, needs_review boolean")
+    rels = spark.createDataFrame([("r", "1", "9", "Apparent_Contradiction", None, '["x"]'), ("s", "8", "9", None, "why", None)], "id string, observation_a string, observation_b string, relationship_type string, explanation string, reasons_json string")
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(V.displayed_observations(obs, "estimate")) == {"2"} and ids(V.displayed_observations(obs, "all", "ACM")) == {"1"} and ids(V.displayed_observations(obs, "review_only")) == set()
+    assert ids(V.displayed_relationships(rels, obs, "contradicted")) == {"r"} and ids(V.displayed_relationships(rels, obs, "all", "sales")) == {"r"} and ids(V.displayed_relationships(rels, obs, "all", "WHY")) == {"s"}
+    dim = spark.createDataFrame([("c", "Sales", ["turnover"], None)], "id string, canonical_name string, aliases array<string>, embedding_json string")
+    names = spark.createDataFrame([("Sales", ["net sales", "turnover"], "[1]"), ("New one", None, None), (None, ["x"], None)], "name string, aliases array<string>, embedding_json string")
+    got = {r["id"]: (r["aliases"], r["embedding_json"]) for r in V.merge_dimension(dim, names, "cpt_").collect()}
+    assert got == {"c": (["turnover", "net sales"], "[1]"), "cpt_new_one": ([], None)}
+    assert {r["status"] for r in V.set_status(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, status string"), "a", "done").collect()} == {"done", "y"}
+    assert all(t.count() == 0 and t.columns for t in V.cleared({"o": obs, "r": rels}).values())
+
+
+def test_claims_by_an_injected_model(spark):
+    from factloom.operators import claims as C
+
+    chunks = spark.createDataFrame([("k1", "d", 3, "text", "Part A", "Sales were 12 crore in FY25."), ("k2", "d", 4, "text", None, "Nothing.")], "id string, document_id string, page_number int, chunk_type string, section string, text string")
+    batches = spark.createDataFrame([("batch_01", "d", "Part A", 3, 4, ["k1", "k2"]), ("batch_02", "e", "x", 1, 1, ["gone"])], "batch_id string, document_id string, section string, page_start int, page_end int, chunk_ids array<string>")
+    item = {"entity_name": "RBI", "concept_name": "Sales", "value_type": "money", "value": 12, "unit": "INR crore", "period_label": "FY25", "assertion_status": "Actual", "evidence_quote": "Sales were 12 crore in FY25.", "page_number": 9, "scope": {"geography": "India"}}
+
+    def call(prompt):
+        assert 'CHUNK id="k1" page=3' in prompt and "=== BATCH batch_01 | SECTION: Part A | PAGES: 3 - 4 ===" in prompt
+        return "Here: " + json.dumps({"observations": [item, {"entity_name": "x"}, item | {"value": "high", "value_type": "?", "confidence": 0.5}]})
+
+    got = C.extract_from_batches(batches, chunks, call)
+    assert got.count() == 2 and C.extract_from_batches(batches, chunks, None).count() == 0
+    registry = spark.createDataFrame([("c1", "net revenue", ["sales value"])], "id string, canonical_name string, aliases array<string>")
+    rows = {r["value_type"]: r for r in C.to_observations(got, registry.limit(0), registry, chunks).collect()}
+    o = rows["currency"]
+    assert (o["entity_name"], o["concept_name"], o["value"], o["normalized_value"], o["normalized_unit"], o["geography"]) == ("reserve bank of india", "revenue", 12.0, 1.2e8, "INR", "India")
+    assert (o["evidence"][0]["chunk_id"], o["evidence"][0]["page_number"]) == ("k1", 3) and not o["needs_review"] and o["entity_aliases"] == ["RBI"]
+    assert rows["text"]["text_value"] == "high" and rows["text"]["review_reason"] == "Low extraction confidence score" and C.evidence_rows(C.to_observations(got, registry, registry)).count() == 2
+    text = C.extract_from_text(spark.createDataFrame([("t", "Sales")], "document_id string, text string"), lambda p: json.dumps([item]))
+    assert [r["document_id"] for r in text.collect()] == ["t"]
+    assert C.to_observations(got.limit(0), registry, registry).count() == 0
+
+
+def test_resolution_with_a_judge(spark):
+    from factloom.operators.resolve import learned_aliases, new_rows, resolve_names
+
+    registry = spark.createDataFrame([("e1", "Lismes Kuvpobkos Securities", ["lks"]), ("e2", "Port Authority of Dor", None)], "id string, canonical_name string, aliases array<string>")
+    names = spark.createDataFrame([(x,) for x in ("RBI", "LKS", " lismes  kuvpobkos securities ", "lismes kuvpobkos security", "zzz", None, " ")], "name string")
+    plain = {r["name"]: r for r in resolve_names(names, registry, "entity").collect()}
+    assert (plain["RBI"]["via"], plain["RBI"]["canonical"], plain["RBI"]["id"]) == ("alias", "reserve bank of india", None)
+    assert plain["LKS"]["id"] == "e1" == plain[" lismes  kuvpobkos securities "]["id"] and plain[None]["canonical"] == "unspecified entity" == plain[" "]["canonical"]
+    near = plain["lismes kuvpobkos security"]
+    assert (near["status"], near["id"], near["canonical"], len(near["candidates"])) == ("ambiguous", "e1", "lismes kuvpobkos security", 2) and plain["zzz"]["status"] == "new"
+    judged = resolve_names(names, registry, "entity", lambda a, b: True)
+    assert {r["via"] for r in judged.where("name like '%security'").collect()} == {"llm_judge"}
+    assert "lismes kuvpobkos security" in {r["id"]: r["aliases"] for r in learned_aliases(judged, registry).collect()}["e1"]
+    other = resolve_names(names, registry, "entity", lambda a, b: False)
+    assert {r["canonical_name"] for r in new_rows(other, registry, "ent_").collect()} == {"zzz", "lismes kuvpobkos security"}
+    assert resolve_names(names, registry.limit(0), "entity").where("status = 'new'").count() == 6 and resolve_names(names.limit(0), registry, "concept").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from factloom.sources import tables
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(b"one\x0ctwo")
