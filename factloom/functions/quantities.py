@@ -49,10 +49,13 @@ UNITS: dict[str, tuple[str, Fraction]] = {
     **dict.fromkeys(("kg", "kgs", "kilogram", "kilograms", "kilo", "kilos"), ("tonne", Fraction(1, 1000))),
     **dict.fromkeys(("quintal", "quintals", "qtl", "qtls"), ("tonne", Fraction(1, 10))),
     **dict.fromkeys(("gram", "grams", "gm", "gms"), ("tonne", Fraction(1, 10**6))),
+    **dict.fromkeys(("lb", "lbs"), ("tonne", Fraction(45359237, 10**11))),
+    **dict.fromkeys(("oz", "ounce", "ounces"), ("tonne", Fraction(45359237, 16 * 10**11))),
     **dict.fromkeys(("km", "kms", "kilometre", "kilometres", "kilometer", "kilometers"), ("km", Fraction(1))),
     **dict.fromkeys(("m", "metre", "metres", "meter", "meters", "mtr", "mtrs"), ("km", Fraction(1, 1000))),
     **dict.fromkeys(("mi", "mile", "miles"), ("km", Fraction(1609344, 10**6))),
     **dict.fromkeys(("ft", "foot", "feet"), ("km", _FOOT / 1000)),
+    **dict.fromkeys(("yd", "yds", "yard", "yards"), ("km", _FOOT * 3 / 1000)),
     **dict.fromkeys(("sqm", "sqmtr", "sqmtrs"), ("sq_m", Fraction(1))),
     **dict.fromkeys(("sqft", "sft"), ("sq_m", _FOOT**2)),
     "msf": ("sq_m", _FOOT**2 * 10**6),
@@ -218,6 +221,32 @@ def read_text(text: str) -> Reading:
     return Reading(number, scales, units)
 
 
+def known_factors() -> list[float]:
+    """Every factor that a unit with or without a scale word may have, once each."""
+    bases = {f for _, f in UNITS.values()}
+    return sorted({float(b * s) for b in bases for s in (1, *SCALES.values())})
+
+
+def claimed(value: float | None, unit: str | None, text: str | None) -> tuple[Fraction | None, list[tuple[str, Fraction]], str]:
+    """``readings`` and a signature: rows of one signature have one reading.
+
+    The signature is the unit's text and what the text says of units and scales, or its words if neither is
+    known.  Without a known unit the number comes alone, and the signature says what its unit was called.
+    """
+    number, options = readings(value, unit, text)
+    name = " ".join(fold(unit).split()) if unit else ""
+    said = read_text(text) if text else Reading(None, (), ())
+    told = ",".join([*map(str, said.scales), *(f"{u}*{f}" for u, f in said.units)])
+    if number is not None:
+        return number, options, f"{name}|{told}"
+    if value is not None and value == value and abs(value) != float("inf"):
+        number = Fraction(repr(value))
+    else:
+        number = said.number
+    words = "" if name or not text else " ".join(_TOKEN.findall(_NOISE.sub(" ", fold(text))))[:80]
+    return number, [], f"{name}|{told}|{words}"
+
+
 def readings(value: float | None, unit: str | None, text: str | None) -> tuple[Fraction | None, list[tuple[str, Fraction]]]:
     """The number that value, unit and text give together, and what a 1 of it may be, the likeliest first.
 

@@ -21,7 +21,7 @@ QUANTITIES = [
     (0.13, None, "reported as 0.13 day(s) (see note 9)", "hour", 3.12), (None, "MT", "2839.7", "tonne", 2839.7), (None, None, "INR eight Cr.", "INR", 80_000_000),
     (None, None, "US$85897.2 '000", "USD", 85_897_200), (None, "mn sq. ft.", "2", "sq_m", 185806.08), (None, "% p.a.", "−7.0", "%", -7.0), (310.0, None, "refer note 12", None, None),
     (None, None, "ranked 62", None, None), (None, None, "index at 126.9", None, None), (5.0, "x", None, None, None), (None, "INR crore", "NA", None, None), (5.0, "", "", None, None),
-    (None, "m", "5", "km", 0.005), (None, "USD m", "5", "USD", 5_000_000),
+    (None, "m", "5", "km", 0.005), (None, "USD m", "5", "USD", 5_000_000), (None, None, "1.5 lb", "tonne", 0.000680388555), (4.0, "yd", None, "km", 0.0036576), (2.0, "oz", None, "tonne", 0.00005669904625),
 ]
 
 
@@ -55,6 +55,20 @@ def test_normalize_quantities(spark):
     assert normalize_quantities(spark.createDataFrame([], OBS), catalog).count() == 0
 
 
+def test_units_from_the_identity(spark):
+    row = lambda i, v, u, stored, unit: (i, float(v), u, None, stored, unit, None, None, None)
+    rows = [row(f"f{n}", n + 1, "Furlongs", 0.201168 * (n + 1) * (10 if n < 2 else 1), "km") for n in range(12)]  # no known word, two wrong values
+    rows += [row(f"g{n}", n + 1, "gizmos", 0.5 * (n + 1) ** 2, "km") for n in range(12)]  # no constant factor
+    rows += [row(f"h{n}", n + 1, "zots", float(n + 1), "km") for n in range(5)]  # too few
+    rows += [row(f"t{n}", n + 1, "MT", 1e6 * (n + 1), "tonne") for n in range(9)]  # all stored values contradict the word
+    rows += [row(f"k{n}", n + 1, "kg", (n + 1) * (0.001 if n % 2 else 7.0), "tonne") for n in range(10)]
+    catalog = spark.createDataFrame([("km", 1000), ("tonne", 1000)], "common_unit string, key_factor long")
+    got = {r["id"]: r for r in normalize_quantities(spark.createDataFrame(rows, OBS), catalog).collect()}
+    assert {i[0] for i in got} == {"f", "t", "k"} and len(got) == 31
+    assert got["f0"]["normalized_unit"] == "km" and [got[f"f{n}"]["value_key"] for n in range(3)] == [201, 402, 604] and not got["f0"]["unique_reading"]
+    assert got["t4"]["normalized_value"] == 5e6 and got["t4"]["unique_reading"] and got["k0"]["value_key"] == 1 and got["k9"]["normalized_value"] == pytest.approx(0.01)
+
+
 def test_unit_identity(spark):
     rows = [("s1", 2.0 * v, 2000.0, v) for v in (1.0, 2.0, 3.0)] + [("s2", 2000.0 * v, 2000.0, v) for v in (1.0, 5.0)] + [("s3", None, 1.0, 1.0), (None, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "source string, mass double, density double, volume double")
