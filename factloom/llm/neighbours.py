@@ -3,9 +3,9 @@
 Randomly rotated one-bit codes in an inverted file.  Vectors are normalised, so cosine similarity is the
 inner product.  Each vector is stored in the list of its nearest centre c as v = c + |r| o; the rotated
 unit residual o keeps one bit a dimension plus two scalars.  Every vector asks the lists of its nearest
-centres; there, inner products are estimated from packed bits (the query's residual in 4-bit planes, so
-an estimate is a few ANDs and bit counts), with the code's error bound; only vectors whose upper bound
-reaches the k-th best lower bound are compared exactly.
+centres; there, inner products are estimated from the packed bits and correction scalars (one matrix product
+with the bits as signs), with the code's error bound; only vectors whose upper bound reaches the k-th best
+lower bound are compared exactly.
 
 The centres come from a bounded sample (SAMPLE rows), all rows are indexed.  Hot lists are cut into
 blocks of at most BLOCK rows, and each block answers its list's queries alone, so no task holds an
@@ -15,6 +15,7 @@ of them, so a hot group of copies adds nothing to a list.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,43 @@ BLOCK = 8_192
 QUERY_BLOCK = 32_768
 #: The error bound's width in standard deviations of the one-bit estimate.
 EPSILON = 1.9
-QUERY_BITS = 4
 
 
 def parse_vectors(df: DataFrame, json_col: str, dim: int, extra: list[str]) -> DataFrame:
     """The rows whose JSON is a list of ``dim`` finite numbers not all zero, with it as ``vector``."""
-    v = F.from_json(json_col, T.ArrayType(T.DoubleType()))
-    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = F.exists("vector", lambda x: x != 0)
-    return df.select(*extra, v.alias("vector")).where((F.size("vector") == dim) & ~bad & some)
+    schema = T.StructType([*(df.schema[c] for c in extra), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, vectors = [], []
+            for n, text in enumerate(batch.column(json_col).to_pylist()):
+                if text and (v := read_vector(text, dim)) is not None:
+                    keep.append(n)
+                    vectors.append(v)
+            values = np.concatenate(vectors) if vectors else np.empty(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dim, dtype=np.int32)), pa.array(values))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in extra), lists], names=[*extra, "vector"])
+
+    return df.select(*extra, json_col).mapInArrow(run, schema)
+
+
+def read_vector(text: str, dim: int) -> np.ndarray | None:
+    """A JSON list of ``dim`` finite numbers that are not all zero; None for anything else."""
+    s = text.strip()
+    if not (s.startswith("[") and s.endswith("]")) or s.count(",") != dim - 1:
+        return None
+    try:
+        found = json.loads(s)
+    except ValueError:
+        return None
+    if len(found) != dim or not all(type(x) in (int, float) for x in found):
+        return None
+    try:
+        v = np.array(found, np.float64)
+    except OverflowError:
+        return None
+    return v if np.isfinite(v).all() and v.any() else None
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -67,6 +96,17 @@ def fit_centres(sample: np.ndarray, lists: int, rounds: int = 4, seed: int = 5)
     return centres
 
 
+def binary_of(v: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a binary column."""
+    v = np.ascontiguousarray(v)
+    width = v.shape[1] * v.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(v), [None, pa.py_buffer(v)]).cast(pa.binary())
+
+
+def vectors_of(raw: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
+
+
 def pack_bits(signs: np.ndarray) -> np.ndarray:
     """Boolean rows to rows of 64-bit words."""
     pad = -signs.shape[1] % 64
@@ -87,7 +127,6 @@ class Codes:
         dim = vectors.shape[1]
         #: <code, o>: how well the code stands for its residual
         self.fit = np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(dim), 1e-6)
-        self.ones = signs.sum(axis=1)
         self.on_centre = vectors @ centre
         self.error = np.sqrt(np.maximum(1 - self.fit**2, 0)) / self.fit * EPSILON / np.sqrt(max(dim - 1, 1))
 
@@ -96,25 +135,13 @@ class Codes:
         dim = queries.shape[1]
         residual = (queries - centre) @ turn
         norm = np.linalg.norm(residual, axis=1)
-        unit = residual / np.maximum(norm, 1e-12)[:, None]
-        low = unit.min(axis=1, keepdims=True)
-        step = np.maximum(unit.max(axis=1, keepdims=True) - low, 1e-12) / (2**QUERY_BITS - 1)
-        level = np.rint((unit - low) / step).astype(np.uint8)
-        dot = np.zeros((len(queries), len(self.ones)), np.float32)
-        for b in range(QUERY_BITS):
-            plane = pack_bits((level >> b) & 1 == 1)
-            hits = np.zeros(dot.shape, np.uint16)
-            for w in range(plane.shape[1]):
-                hits += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w])
-            dot += hits * np.float32(1 << b)
-        # sum over set bits of (low + step * level), minus the sum over the others
-        set_sum = low * self.ones[None, :] + step * dot
-        code_dot = (2 * set_sum - unit.sum(axis=1, keepdims=True)) / np.sqrt(dim)
-        scale = norm[:, None] * self.norm[None, :]
-        # <v, u> = <v, c> + <u - c, c> + |r_v| |r_u| <o_v, o_u>
+        # the packed bits as -1 and 1, so that one product gives <code, residual> for all
+        signs = np.unpackbits(self.bits.view(np.uint8), axis=1, count=dim).astype(np.float32)
+        signs = (2 * signs - 1) / np.float32(np.sqrt(dim))
+        # <v, u> = <v, c> + <u - c, c> + |r_v| <o_v, r_u>
         known = self.on_centre[None, :] + ((queries - centre) @ centre)[:, None]
-        rounding = step * EPSILON / np.sqrt(12) / self.fit[None, :]
-        return known + scale * code_dot / self.fit[None, :], scale * (self.error[None, :] + rounding)
+        estimated = (residual @ signs.T) * (self.norm / self.fit)[None, :]
+        return known + estimated, norm[:, None] * (self.norm * self.error)[None, :]
 
 
 def best_in_list(stored: np.ndarray, queries: np.ndarray, same: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int):
@@ -151,23 +178,30 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
 
     Approximate: a neighbour is missed if it lies in none of the ``probes`` asked lists or, rarely, if its
     error bound fails.  Fewer than k come out only if fewer rows are found.  Ties are broken by the
-    smaller neighbour id.  ids must be distinct and not null; vectors must be finite, of length ``dim``
-    and not zero (``parse_vectors`` sees to it).  Other columns are ignored.  An empty input gives an
+    smaller neighbour id.  ids must not be null; of rows with one id and different vectors one counts; vectors
+    must be finite, of length ``dim`` and not zero (``parse_vectors`` sees to it).  Other columns are ignored.  An empty input gives an
     empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     id_type = vectors.schema["id"].dataType
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.select("id", F.transform("vector", lambda x: (x / norm).cast("float")).alias("vector"))
-    unit = unit.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
-    grouped = unit.groupBy("h1", "h2").agg(
-        F.min("id").alias("id"), F.first("vector").alias("vector"), F.count("*").alias("copies")
-    )
+    packed = T.StructType([T.StructField("id", id_type), T.StructField("raw", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)  # no negative zeros
+            yield pa.RecordBatch.from_arrays([batch.column("id"), binary_of(v)], names=["id", "raw"])
+
+    # vectors are read and normalised once; from here on copies are told by two hashes
+    unit = vectors.select("id", "vector").mapInArrow(pack, packed)
+    unit, _ = scratch.cut(unit.select("id", "raw", F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(1), "raw").alias("h2")))
+    of_id = unit.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
+    groups = of_id.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    grouped = unit.groupBy("h1", "h2").agg(F.first("raw").alias("raw")).join(groups, ["h1", "h2"])
     grouped, _ = scratch.cut(grouped)
     total = grouped.count()
-    sample = grouped.orderBy("h1", "h2").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
-    sample = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    sample = vectors_of(grouped.orderBy("h1", "h2").limit(SAMPLE).select("raw").toArrow().column("raw").to_pylist(), dim)
     lists = int(min(max(LISTS_PER_ROOT * np.sqrt(total), 1), SAMPLE // 4))
     centres = fit_centres(sample.astype(np.float32), lists) if total else np.zeros((1, dim), np.float32)
     del sample
@@ -188,21 +222,20 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-                s = v @ c.T
+                s = vectors_of(part.column("raw").to_pylist(), dim) @ c.T
                 near = np.argpartition(-s, wanted - 1, axis=1)[:, :wanted].astype(np.int32)
                 ends = np.arange(0, near.size + 1, wanted, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
-                        pa.array([x.tobytes() for x in v], pa.binary()),
+                        part.column("raw"),
                         pa.array(s.argmax(axis=1).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel())),
                     ],
                     names=["id", "raw", "home", "lists"],
                 )
 
-    cells, _ = scratch.cut(grouped.select("id", "vector").mapInArrow(assign, placed))
+    cells, _ = scratch.cut(grouped.select("id", "raw").mapInArrow(assign, placed))
     # A list's stored rows and its queries fall into blocks of bounded size; a row is repeated for each
     # block of the other side.  Nearly all lists have one block of either.
     n_lists = len(centres)
@@ -233,7 +266,7 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        v = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float32).reshape(-1, dim)
+        v = vectors_of(table.column("raw").to_pylist(), dim)
         is_stored = table.column("stored").to_numpy()
         at, asks = np.flatnonzero(is_stored), np.flatnonzero(~is_stored)
         ids = table.column("id").to_pylist()
@@ -255,7 +288,7 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int = 5, probes: int = P
     # Copies: each vector was searched once; its rows now get one another and the rows of its neighbours,
     # of which none needs more than k + 1.
     near, _ = scratch.cut(near)
-    rows = unit.select("id", "h1", "h2").join(hot, ["h1", "h2"]).select("id", "rep")
+    rows = of_id.join(hot, ["h1", "h2"]).select("id", "rep")
     rows, _ = scratch.cut(rows)
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
     others = few.where("id <> rep")

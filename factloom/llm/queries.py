@@ -64,7 +64,7 @@ def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     found = []
     for name in ("entities", "concepts"):
         vectors = parse_vectors(read_table(spark, folder, name), "embedding_json", 128, ["id"])
-        vectors = vectors.where("id is not null").dropDuplicates(["id"])
+        vectors = vectors.where("id is not null")
         found.append(nearest_neighbours(vectors, 128, 5).withColumn("of_table", F.lit(name)))
     return found[0].unionByName(found[1])
 
