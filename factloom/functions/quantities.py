@@ -136,6 +136,9 @@ class Reading(NamedTuple):
     units: tuple[tuple[str, Fraction], ...]
 
 
+NOTHING = Reading(None, (), ())
+
+
 def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("‘", "'").replace("`", "'")
 
@@ -233,16 +236,12 @@ def claimed(value: float | None, unit: str | None, text: str | None) -> tuple[Fr
     The signature is the unit's text and what the text says of units and scales, or its words if neither is
     known.  Without a known unit the number comes alone, and the signature says what its unit was called.
     """
-    number, options = readings(value, unit, text)
+    said = read_text(text) if text else NOTHING
+    number, options = _readings(value, unit, text, said)
     name = " ".join(fold(unit).split()) if unit else ""
-    said = read_text(text) if text else Reading(None, (), ())
     told = ",".join([*map(str, said.scales), *(f"{u}*{f}" for u, f in said.units)])
-    if number is not None:
+    if options:
         return number, options, f"{name}|{told}"
-    if value is not None and value == value and abs(value) != float("inf"):
-        number = Fraction(repr(value))
-    else:
-        number = said.number
     words = "" if name or not text else " ".join(_TOKEN.findall(_NOISE.sub(" ", fold(text))))[:80]
     return number, [], f"{name}|{told}|{words}"
 
@@ -253,15 +252,17 @@ def readings(value: float | None, unit: str | None, text: str | None) -> tuple[F
     A present value is the number, else the number is in the text.  A scale named in either place applies
     once.  No number or no unit gives (None, []).
     """
+    number, options = _readings(value, unit, text, read_text(text) if text else NOTHING)
+    return (number, options) if options else (None, [])
+
+
+def _readings(value: float | None, unit: str | None, text: str | None, said: Reading) -> tuple[Fraction | None, list[tuple[str, Fraction]]]:
     unit_scales, units = read_unit(unit) if unit else ((), ())
-    said = read_text(text) if text else Reading(None, (), ())
-    if value is not None and value == value and abs(value) != float("inf"):
-        number: Fraction | None = Fraction(repr(value))
-    else:
-        number = said.number
+    present = value is not None and value == value and abs(value) != float("inf")
+    number = Fraction(repr(value)) if present else said.number
     units = units or said.units
     if number is None or not units:
-        return None, []
+        return number, []
     scales = unit_scales or said.scales
     clear = bool(scales) and any(t in SCALES for t in _TOKEN.findall(fold(f"{unit or ''} {text or ''}")))
     options = [(u, f * s) for u, f in units for s in (scales or (Fraction(1),))]
