@@ -36,6 +36,8 @@ PROBES = 6
 #: Stored rows, and queries, of a list that one task compares at once.
 BLOCK = 8_192
 QUERY_BLOCK = 32_768
+#: Times k rows that are compared first, and the error allowed to single precision.
+FIRST, SINGLE = 2, 1e-5
 #: The error bound's width in standard deviations of the one-bit estimate.
 EPSILON = 1.9
 
@@ -157,13 +159,21 @@ def best_in_list(stored: np.ndarray, queries: np.ndarray, same: np.ndarray, cent
         own = same[lo : lo + 512]
         rows = np.flatnonzero(own >= 0)
         est[rows, own[rows]] = -np.inf
-        if est.shape[1] > k:
-            bar = -np.partition(-(est - err), k - 1, axis=1)[:, k - 1]
-            q, row = np.nonzero(est + err >= bar[:, None])
+        n = est.shape[1]
+        if n > k:
+            # the best by estimate are compared first: the k-th of them is a bar the others' upper bounds must reach
+            first = np.argpartition(-est, min(FIRST * k, n) - 1, axis=1)[:, : FIRST * k]
+            seen = np.einsum("ij,ikj->ik", block, stored[first])
+            seen[~np.isfinite(np.take_along_axis(est, first, axis=1))] = -np.inf
+            bar = -np.partition(-seen, k - 1, axis=1)[:, k - 1]
+            q, row = np.nonzero((est + err >= bar[:, None] - SINGLE) & np.isfinite(est))
         else:
             q, row = np.nonzero(np.isfinite(est))
-        keep = np.isfinite(est[q, row])
-        q, row = q[keep], row[keep]
+        # the chosen ones in single precision, those that may be among the k in double
+        exact = np.einsum("ij,ij->i", block[q], stored[row])
+        if n > k:
+            close = exact >= bar[q] - SINGLE
+            q, row = q[close], row[close]
         exact = np.einsum("ij,ij->i", block[q].astype(np.float64), stored[row].astype(np.float64))
         order = np.lexsort((row, -exact, q))
         q, row, exact = q[order], row[order], exact[order]
