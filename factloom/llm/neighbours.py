@@ -39,7 +39,7 @@ QUERY_BLOCK = 32_768
 #: Times k rows that are compared first, and the error allowed to single precision.
 FIRST, SINGLE = 2, 1e-5
 #: The error bound's width in standard deviations of the one-bit estimate.
-EPSILON = 1.9
+EPSILON = 3.2
 
 
 def parse_vectors(df: DataFrame, json_col: str, dim: int, extra: list[str]) -> DataFrame:
