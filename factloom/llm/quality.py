@@ -4,8 +4,9 @@ A text is cut into units: table rows, list items, headings and paragraphs (lines
 across are joined).  A unit is running text if it is long enough, enough of its words are common words of
 any one language, and few are damaged or scrambled; items of a list and rows of a table must moreover be long, whole
 sentences.  A document is prose if at least half of its characters (white space aside) lie in running
-text.  Repetition statistics - shares of duplicate lines and paragraphs, characters covered by the most
-frequent word n-grams - go with it; a unit that repeats counts once, however short.
+text and it is no boilerplate: a unit that repeats counts once, however short, and where the repetition
+shares (duplicate lines and paragraphs, characters under the most frequent word n-gram) say that most of the
+text is one thing over and over, no part of it is running text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WORD_ROWS = 100_000
 COMMON, DAMAGED = 0.16, 0.3
 #: Least share of words that are common words with their letters in disorder, from which a text is scrambled.
 SCRAMBLED = 0.06
+#: Share of duplicate lines or paragraphs, or of characters under the most frequent n-gram, from which a text is boilerplate.
+BOILERPLATE, GRAM_BOILERPLATE = 0.8, 0.5
 #: Least words of a paragraph, and of a list item, that count as running text.
 PARAGRAPH_WORDS, ITEM_WORDS = 7, 19
 
@@ -164,14 +167,18 @@ class Judge:
                 prose += len(unit) - sum(map(unit.count, " \t\n\r "))
             seen.add(unit.strip())
         count = len(words)
+        duplicate_lines = 1 - len(set(lines)) / len(lines) if lines else 0.0
+        duplicate_paragraphs = 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0
+        if max(duplicate_lines, duplicate_paragraphs) >= BOILERPLATE or covered >= GRAM_BOILERPLATE * solid:
+            prose = 0
         return {
             "word_count": count,
             "mean_word_length": sum(map(len, words)) / count if count else None,
             "symbol_ratio": len(_SYMBOL.findall(text)) / len(text) if text else None,
             "lines_ending_in_punctuation": sum(1 for x in lines if _END.search(x)) / len(lines) if lines else None,
             "common_words": self.common(words) / count if count else None,
-            "duplicate_lines": 1 - len(set(lines)) / len(lines) if lines else None,
-            "duplicate_paragraphs": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else None,
+            "duplicate_lines": duplicate_lines if lines else None,
+            "duplicate_paragraphs": duplicate_paragraphs if paragraphs else None,
             "top_gram_share": min(1.0, covered / solid),
             "prose_share": min(1.0, prose / solid) if text.strip() else None,
             "is_prose": prose >= 0.5 * solid if text.strip() else None,

@@ -383,6 +383,16 @@ def test_repeated_short_units_count_once():
     assert judge("\n\n".join([line] * 300))["is_prose"] is False
 
 
+def test_repetition_shares_decide():
+    judge = quality.Judge({"en": frozenset("the of and to a in that it was for is by on not with this".split())})
+    notice = "This notice is for the holders of the notes and is not for the public."  # one notice of 70 letters, 400 times
+    found = judge("\n".join([notice] * 400))
+    assert found["duplicate_lines"] > 0.99 and found["is_prose"] is False
+    varied = "\n".join(f"The report of the auditor for the year {n} was on time and in order, and it is with the board of unit {n}." for n in range(40))
+    assert judge(varied)["is_prose"] and judge(varied)["duplicate_lines"] == 0
+    assert judge("and so it is " * 300)["top_gram_share"] >= quality.GRAM_BOILERPLATE and judge("and so it is " * 300)["is_prose"] is False
+
+
 def test_queries_registered():
     found = queries.queries()
     assert {"p1_found", "p2_found", "p3_found", "p5_found", "p6_found", "p7_ids", "p8_containers", "p9_found"} <= set(found)
