@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -21,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.edits import edits
 from factloom.llm.names import aliases_of
+from factloom.sources.tables import Scratch
 
 UNMATCHED = "unmatched"
-#: Reference phrases that a dictionary holds; a longer list is looked up block by block.
+#: Reference phrases that a dictionary holds, about: a longer list falls into blocks, each looked up on its own.
 BLOCK_PHRASES = 20_000
+#: Distinct values that one task looks up in a block, about.
+CHUNK_VALUES = 20_000
 #: Letters of a phrase under whose deletions it is filed.
 PREFIX = 12
 #: Distinct values whose result a worker remembers.
@@ -100,6 +103,14 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def letters_of(word: str) -> int:
+    """The word's set of letters, as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def skeleton(word: str) -> str:
     return word[:1] + re.sub(r"[aeiou]", "", word[1:])
 
@@ -174,9 +185,13 @@ class Dictionary:
             if w[0] in "aeiou" and len(bare := re.sub(r"[aeiou]", "", w)) >= 3:
                 self.bones.setdefault(bare, []).append(w)
         self.longest = max(map(len, words), default=0)
-        self.initial: dict[str, list[str]] = {}
-        for w in sorted(words):
-            self.initial.setdefault(w[0], []).append(w)
+        self.sorted = sorted(words)
+        self.skeletons: dict[str, list[str]] = {}
+        self.initial: dict[str, list[tuple[int, str]]] = {}
+        for w in self.sorted:
+            for k in {skeleton(w), skeleton(w).rstrip("s")}:
+                self.skeletons.setdefault(k, []).append(w)
+            self.initial.setdefault(w[0], []).append((letters_of(w), w))
         self.candidates = lru_cache(maxsize=REMEMBERED)(self._candidates)
 
     def _candidates(self, token: Token) -> dict[str, float]:
@@ -195,18 +210,24 @@ class Dictionary:
             out[t[:-1]] = 0.2
         if t + "s" in self.words:
             out[t + "s"] = 0.2
-        for w in self.initial.get(t[0], ()):
-            if len(t) >= len(w):
-                continue
-            if w.startswith(t) and (len(t) >= 3 or (token.dotted and len(t) >= 1)):
-                cost = 0.5 if token.dotted else 0.6
-            elif len(t) >= 2 and (t == skeleton(w) or t == skeleton(w).rstrip("s") and len(t) > 2):
-                cost = 0.5
-            elif len(t) >= 3 and len(t) <= 0.8 * len(w) and _subsequence(t, w):
-                cost = 0.9
-            else:
-                continue
-            out[w] = min(cost, out.get(w, 9.0))
+        def short(w: str, cost: float) -> None:
+            if len(t) < len(w):
+                out[w] = min(cost, out.get(w, 9.0))
+
+        if len(t) >= 3 or token.dotted:
+            for n in range(bisect_left(self.sorted, t), len(self.sorted)):
+                if not self.sorted[n].startswith(t):
+                    break
+                short(self.sorted[n], 0.5 if token.dotted else 0.6)
+        if len(t) >= 2:
+            for w in self.skeletons.get(t, ()):
+                if not w.startswith(t) and (t == skeleton(w) or len(t) > 2):
+                    short(w, 0.5)
+        if len(t) >= 3:
+            mask = letters_of(t)
+            for letters, w in self.initial.get(t[0], ()):
+                if not mask & ~letters and w not in out and len(t) <= 0.8 * len(w) and _subsequence(t, w):
+                    short(w, 0.9)
         for w in self.bones.get(t, ()):
             out.setdefault(w, 0.7)
         return out
@@ -377,62 +398,65 @@ def map_values(
     Of several rows with one id the latest ingested counts if there is an ingested_at, then the largest
     name.  Null ids are left out, null and blank names too.  Reference rows with a null id, and null or
     blank names and aliases, are ignored; an empty reference list leaves all unmatched.  The cost is null for
-    misses.  Equal costs go to the entry typed exactly more often, then to the smaller id.
+    misses.  Equal costs go to the entry typed exactly more often, then to the smaller id.  Every distinct value
+    is looked up once in every block of the list; neither the list nor the values ever come together.
     """
     keep = F.col(name_col).rlike(r"(?U)[^\s]") & F.col(id_col).isNotNull()
     latest = F.struct(*([F.col("ingested_at")] if "ingested_at" in values.columns else []), F.col(name_col).alias("_name"))
     once = values.where(keep).groupBy(F.col(id_col).alias("_id")).agg(F.max(latest)["_name"].alias("_name"))
-    blocks: list[list[tuple[str, str]]] = [[]]
-    for row in reference.where(F.col(entry_col).isNotNull()).select(entry_col, canonical_col, aliases_col).orderBy(entry_col).toLocalIterator():
-        for phrase in dict.fromkeys([row[1] or "", *aliases_of(row[2])]):
-            if phrase.strip():
-                if len(blocks[-1]) >= BLOCK_PHRASES:
-                    blocks.append([])
-                blocks[-1].append((str(row[0]), phrase))
-    kind = to_arrow_type(values.schema[id_col].dataType)
-    # how often each entry is typed exactly
-    frequency: dict[str, int] = {}
-    counted = T.StructType([T.StructField("entry", T.StringType()), T.StructField("n", T.LongType())])
-    schema = T.StructType(
-        [T.StructField("_id", values.schema[id_col].dataType), T.StructField("entry", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("often", T.LongType())]
-    )
-    results: DataFrame | None = None
-    for block in blocks:
-        exact: dict[str, str] = {}
-        for entry, phrase in block:
-            exact.setdefault(" ".join(t.word for t in tokens_of(clean(phrase))), entry)
-
-        def count(batches: Iterator[pa.RecordBatch], exact: dict[str, str] = exact) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.column("_name").to_pylist()
-                times = batch.column("n").to_pylist()
-                hits = [(exact[k], n) for x, n in zip(names, times, strict=True) if (k := " ".join(t.word for t in tokens_of(clean(x)))) in exact]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([e for e, _ in hits], pa.string()), pa.array([n for _, n in hits], pa.int64())], names=["entry", "n"]
-                )
-
-        typed = once.groupBy("_name").agg(F.count("*").alias("n")).mapInArrow(count, counted)
-        for r in typed.groupBy("entry").agg(F.sum("n")).toLocalIterator():  # bounded: a row a reference entry
-            frequency[r[0]] = frequency.get(r[0], 0) + r[1]
-    for block in blocks:
-
-        def find(batches: Iterator[pa.RecordBatch], block: list[tuple[str, str]] = block) -> Iterator[pa.RecordBatch]:
-            look_up = lru_cache(maxsize=REMEMBERED)(Dictionary(block, frequency).look_up)
-            for batch in batches:
-                found = [look_up(x) for x in batch.column("_name").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_id").cast(kind),
-                        pa.array([f[0] if f else UNMATCHED for f in found], pa.string()),
-                        pa.array([f[1] if f else None for f in found], pa.float64()),
-                        pa.array([frequency.get(f[0], 0) if f else 0 for f in found], pa.int64()),
-                    ],
-                    names=["_id", "entry", "cost", "often"],
-                )
-
-        here = once.mapInArrow(find, schema)
-        results = here if results is None else results.union(here)
-    if len(blocks) > 1:
-        order = F.struct(F.coalesce("cost", F.lit(float("inf"))), -F.col("often"), "entry")
-        results = results.groupBy("_id").agg(F.min_by(F.struct("entry", "cost"), order).alias("r")).select("_id", "r.*")
-    return results.select(F.col("_id").alias(id_col), "entry", "cost")
+    scratch = Scratch(values.sparkSession)
+    once, _ = scratch.cut(once)
+    typed, _ = scratch.cut(_with_key(once.groupBy("_name").agg(F.count("*").alias("n")), "_name"))
+    named = reference.where(F.col(entry_col).isNotNull()).select(F.col(entry_col).cast("string").alias("entry"), F.col(canonical_col).alias("name"), F.col(aliases_col).alias("aliases"))
+    phrases, _ = scratch.cut(_with_key(_phrases(named), "phrase"))
+    # how often each entry is typed exactly; a phrase of several entries counts for each
+    owner = phrases.select("key", "entry").distinct()
+    often = typed.where("key <> ''").join(owner, "key").groupBy("entry").agg(F.sum("n").alias("often"))
+    listed, _ = scratch.cut(phrases.select("entry", "phrase").join(often, "entry", "left").select("entry", "phrase", F.coalesce("often", F.lit(0)).alias("often")))
+    blocks = max(1, -(-listed.count() // BLOCK_PHRASES))
+    chunks = max(1, -(-typed.count() // CHUNK_VALUES))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # entries stay whole, so that ties within one are settled in one place
+    left = typed.select("_name", place("_name", chunks).alias("chunk"), every(blocks).alias("block"))
+    right = listed.select("entry", "phrase", "often", every(chunks).alias("chunk"), place("entry", blocks).alias("block"))
+    found = T.StructType([T.StructField("_name", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("often", T.LongType())])
+
+    def find(names: pa.Table, block: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(block.column(c).to_pylist() for c in ("entry", "phrase", "often")), strict=True))
+        often = {entry: n for entry, _, n in rows}
+        dictionary = Dictionary([(entry, phrase) for entry, phrase, _ in rows], often)
+        out = [(x, *f, often.get(f[0], 0)) for x in names.column("_name").to_pylist() if (f := dictionary.look_up(x))]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=found.names)
+
+    hits = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(find, found)
+    best = hits.groupBy("_name").agg(F.min_by(F.struct("entry", "cost"), F.struct(F.round("cost", 3), -F.col("often"), "entry")).alias("r")).select("_name", "r.*")
+    return once.join(best, "_name", "left").select(F.col("_id").alias(id_col), F.coalesce("entry", F.lit(UNMATCHED)).alias("entry"), "cost")
+
+
+def _phrases(named: DataFrame) -> DataFrame:
+    """(entry, name, aliases) to (entry, phrase), a row each name and alias that is not blank."""
+    schema = T.StructType([T.StructField("entry", T.StringType()), T.StructField("phrase", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for entry, name, aliases in zip(*(batch.column(c).to_pylist() for c in ("entry", "name", "aliases")), strict=True):
+                out += [(entry, x) for x in dict.fromkeys([name or "", *aliases_of(aliases)]) if x.strip()]
+            columns = list(zip(*out, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=schema.names)
+
+    return named.mapInArrow(run, schema).distinct()
+
+
+def _with_key(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``key``, the words of the cleaned text: texts with one key are the same entry typed exactly."""
+    schema = T.StructType([*df.schema.fields, T.StructField("key", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [" ".join(t.word for t in tokens_of(clean(x))) for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)

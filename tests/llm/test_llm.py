@@ -224,6 +224,7 @@ def test_lookup_in_blocks_equals_one_dictionary(spark, monkeypatch):
     ref = spark.createDataFrame([(k, v[0], json.dumps(v[1:])) for k, v in CONCEPTS.items()], "id string, canonical_name string, aliases_json string")
     whole = {tuple(r) for r in lookup.map_values(typed, ref).select("candidate_id", "entry").collect()}
     monkeypatch.setattr(lookup, "BLOCK_PHRASES", 5)
+    monkeypatch.setattr(lookup, "CHUNK_VALUES", 7)
     assert {tuple(r) for r in lookup.map_values(typed, ref).select("candidate_id", "entry").collect()} == whole
 
 
