@@ -108,7 +108,7 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The three nearest vectors of every fiftieth vector, exactly, in one pass over a stated query set."""
     e = read_table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    blocks = 8
+    blocks = max(spark.sparkContext.defaultParallelism, e.count() // 50_000 + 1)
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     stored = e.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("int"))
     scored = stored.join(asked, "block").where("vec_id <> query_id").select("query_id", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("v")), 9).alias("similarity"))

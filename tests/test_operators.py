@@ -259,6 +259,41 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) == 30
 
 
+def test_corrections_replace_what_is_stored(spark, tmp_path):
+    from test_reconcile import SCHEMA, obs
+
+    from factloom.streaming.ingest import IncrementalStore, new_documents
+
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).drop("entity_name", "concept_name")
+    entities = spark.createDataFrame([("e0", "A")], "id string, canonical_name string")
+    concepts = spark.createDataFrame([("c", "growth")], "id string, canonical_name string")
+    o = lambda i, v: obs(i, value=v, entity_id="e0", concept_id="c")
+    store = IncrementalStore(spark, entities, concepts, str(tmp_path / "store"))
+    store.add(frame([o("1", 5.0), o("2", 5.0)]), 0)
+    store.add(frame([o("3", 5.0), o("1", 5.0)]), 1)  # 1 comes again as it was
+    verdicts = lambda: {r["id"]: r["verdict"] for r in store.relationships().collect()}
+    assert verdicts() == {"rel_1_2": "equal", "rel_1_3": "equal", "rel_2_3": "equal"}
+    store.add(frame([o("1", 9.0)]), 2)
+    assert verdicts() == {"rel_1_2": "differs", "rel_1_3": "differs", "rel_2_3": "equal"} and store.observations().count() == 3
+    store.add(frame([o("1", 9.0)]), 2)  # the batch runs again
+    assert len(verdicts()) == 3
+    docs = spark.createDataFrame([("a", "h"), ("b", "k"), ("c", None)], "id string, file_hash string")
+    fresh, again = new_documents(docs, docs.where("id = 'a'"))
+    assert {r["id"] for r in fresh.collect()} == {"b", "c"} and [r["id"] for r in again.collect()] == ["a"]
+
+
+def test_runs(spark):
+    from factloom.operators.runs import cancel, run_document
+
+    undone = []
+    clock = iter("0123456789").__next__
+    run = lambda job, **kw: run_document(spark, "d", job, lambda: undone.append(1), clock, **kw).collect()[0]
+    assert run(lambda: {"pages": 3})["metrics"] == {"pages": 3} and undone == []
+    assert run(lambda: {}, cancelled=lambda: True)["status"] == "cancelled" and len(undone) == 1
+    assert run(lambda: 1 / 0)["error"] == "division by zero" and len(undone) == 2
+    cancel(spark, "nothing")
+
+
 def test_core_does_not_need_llm():
     from pathlib import Path
 
