@@ -9,14 +9,15 @@ What lies around a join, from the last safe place before it to the first one beh
 again as one string, over several chunks where one has no safe place: both its ends then agree with
 their neighbours, so the result equals the encoding of the text in one piece.
 
-No shuffle: chunks are shared within a worker, not across workers.  Sharing them across the cluster
-would move the corpus and its ids over the network twice, far more work than encoding a chunk once a
-worker.
+``encode_corpus`` needs no shuffle: chunks are shared within a worker, not across workers.
+``encode_corpus_shared`` shares them across the cluster, which moves the corpus and its ids over the network;
+it pays where most of a corpus repeats.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources.tables import Scratch
+
 #: Where the public tokenizers' files are, unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
 #: How byte-level BPE of this vocabulary splits a text before merging.
@@ -191,6 +194,51 @@ def encode_corpus(
     return docs.mapInArrow(run, schema)
 
 
+def encode_corpus_shared(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+) -> DataFrame:
+    """``encode_corpus`` for corpora that repeat: every distinct chunk is encoded once on the whole cluster.
+
+    The same rows come out.  Texts are cut into the same pieces, which are told by a hash of 128 bits, encoded
+    once each, and joined back; so the corpus crosses the network once, its distinct pieces and the ids
+    once more.  It pays where most bytes lie in passages that many documents share.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    piece = T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("piece", T.BinaryType())])
+    cut = T.StructType([T.StructField("id", kind), T.StructField("whole", T.BinaryType()), T.StructField("pieces", T.ArrayType(piece))])
+    arrow = pa.list_(pa.struct([("hash", pa.binary()), ("piece", pa.binary())]))
+
+    def digest(data: bytes) -> bytes:
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            for lo, hi in blocks(texts):
+                found = [[{"hash": digest(p), "piece": p} for p in enc.pieces(t, np.array([len(t)]))] for t in texts[lo:hi]]
+                whole = pa.array([digest(t) for t in texts[lo:hi]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), whole, pa.array(found, arrow)], names=["id", "whole", "pieces"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(vocabulary).bpe
+        for batch in batches:
+            ids = [bpe.encode_ordinary(p.decode()) for p in batch.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(ids, pa.list_(pa.int32()))], names=["hash", "ids"])
+
+    parts, _ = Scratch(spark).cut(rows.mapInArrow(split, cut))
+    distinct = parts.select(F.explode("pieces").alias("p")).groupBy("p.hash").agg(F.first("p.piece").alias("piece"))
+    known = distinct.mapInArrow(encode, T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    # repeated rows are one row with its number of copies
+    once = parts.groupBy("id", "whole").agg(F.count("*").alias("copies"), F.first(F.transform("pieces", lambda p: p["hash"])).alias("hashes"))
+    each = once.select("id", "whole", "copies", F.posexplode_outer("hashes").alias("n", "hash")).join(known, "hash", "left")
+    joined = each.groupBy("id", "whole", "copies").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))).alias("parts"))
+    whole = joined.select(F.col("id").alias(id_col), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return whole.select(id_col, "ids")
+
+
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 ) -> DataFrame:

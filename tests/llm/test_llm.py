@@ -315,6 +315,15 @@ def test_encoding_equals_one_piece_and_round_trips(spark):
     assert all(counts[n] == len(got[n]) for n in got) and tokens.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_chunks_shared_by_the_cluster_give_the_same_ids(spark):
+    r = random.Random(18)
+    passage = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(800))
+    texts = TEXTS + [f"{n} {passage} {n}" for n in range(12)]
+    df = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)] + [(0, "", 1), (3, "a", 1), (None, "x", 1), (None, None, 1)], "doc_id long, text string, ids int").repartition(3)
+    rows = lambda out: sorted((str(x["doc_id"]), list(x["ids"])) for x in out.collect())
+    assert rows(tokens.encode_corpus_shared(df)) == rows(tokens.encode_corpus(df)) and tokens.encode_corpus_shared(df.limit(0)).count() == 0
+
+
 def test_chunks_are_shared_and_cuts_depend_on_content():
     e = tokens.ChunkEncoder(VOCABULARY + ".tiktoken")
     r = random.Random(10)
