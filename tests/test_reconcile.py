@@ -17,7 +17,10 @@ FIELDS = [f.split()[0] for f in SCHEMA.replace("\n", " ").split(",")]
 def obs(i, **given):
     base = dict.fromkeys(FIELDS)
     base |= dict(id=i, document_id="d1", entity_id="e", concept_id="c", value_type="percentage", unit="%", period_type="fiscal_year", period_label="FY25", assertion_status="actual", needs_review=False, entity_name="India", concept_name="real gdp growth")
-    return tuple((base | given)[f] for f in FIELDS)
+    row = base | given
+    if "concept_id" not in given:  # an id of its own for each name: two ids decide alone whether concepts are one
+        row["concept_id"] = f"c:{row['concept_name']}"
+    return tuple(row[f] for f in FIELDS)
 
 
 def run(spark, rows, **kw):
