@@ -127,6 +127,13 @@ def resolve_entities(spark, folder):
     return resolve_names(raw, _registry(spark, folder, "entities"), "entity").select("name", "status", "via", "id", "canonical", "similarity")
 
 
+def resolve_candidates(spark, folder):
+    """The three nearest concepts of every typed name that is neither an alias nor in the registry, with their places."""
+    raw = read_table(spark, folder, "extracted_observations").select(F.col("concept_name").alias("name"))
+    r = resolve_names(raw, _registry(spark, folder, "concepts"), "concept").where("via not in ('fallback', 'alias', 'exact')")
+    return r.select("name", F.posexplode("candidates").alias("place", "c")).select("name", (F.col("place") + 1).alias("place"), "c.id", "c.similarity")
+
+
 def claim_observations(spark, folder):
     """Claims as observations: resolved, normalised, with all reasons for review in order."""
     o = C.to_observations(claims(spark, folder), _registry(spark, folder, "entities"), _registry(spark, folder, "concepts"))
@@ -158,7 +165,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             doc_metadata, chunk_blocks, batch_fold, chunk_resolution, grounding_value, grounding_period, grounding_concept, grounding_status,
-            grounding_metadata, validate_grounding, resolve_tiers, resolve_entities, claim_observations, saved_evidence, incremental_ingest,
+            grounding_metadata, validate_grounding, resolve_tiers, resolve_candidates, resolve_entities, claim_observations, saved_evidence, incremental_ingest,
         )
     }
 
@@ -299,6 +306,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'batch_' || lpad(CAST(batch AS VARCHAR), 2, '0') AS batch_id, document_id, arg_max_null(f.section, pos) AS section, min(page) AS page_start, max(page) AS page_end,
               list(id ORDER BY pos) AS chunk_ids, CAST(sum(n) AS BIGINT) AS total_chars FROM f JOIN o USING (document_id, pos) GROUP BY document_id, batch""",
         "resolve_tiers": f"WITH {concept_sql} SELECT name, status, via, id, canonical, similarity FROM c_r",
+        "resolve_candidates": f"""WITH {concept_sql}, top AS (SELECT clean, id, s, row_number() OVER (PARTITION BY clean ORDER BY s DESC, id) AS place FROM (SELECT clean, i.id, coalesce(s, 0.0::DOUBLE) AS s
+              FROM c_c CROSS JOIN c_i i LEFT JOIN c_s USING (clean, id)))
+            SELECT name, CAST(place AS INT) AS place, top.id, s AS similarity FROM c_n JOIN top USING (clean) WHERE place <= 3""",
         "resolve_entities": f"WITH {entity_sql} SELECT name, status, via, id, canonical, similarity FROM e_r",
         "claim_observations": f"""WITH {entity_sql}, {concept_sql}, g AS (SELECT * FROM {grounded}),
             x AS (SELECT *, coalesce(value_num, TRY_CAST(value_text AS DOUBLE)) AS num, CASE WHEN num IS NULL THEN value_text END AS txt FROM {once}),

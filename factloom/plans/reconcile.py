@@ -54,6 +54,18 @@ def cascade_classes(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("class_id", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def cascade_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences on verdicts that quote no numbers: nested periods, scopes, currencies."""
+    r = R.reconcile(prepared(spark, folder)).where(F.col("verdict").isin("nested", "scope", "currency"))
+    return r.select("id", "explanation")
+
+
+def numeric_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the numbers of comparable pairs lie apart, relatively."""
+    r = R.reconcile(prepared(spark, folder)).where("numeric is not null")
+    return r.select("id", "numeric.relative_difference", (F.col("numeric.difference") > 0).alias("first_is_more"))
+
+
 def intra_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts of pairs within one document."""
     r = R.reconcile(prepared(spark, folder), keep=F.col("document_id_a") == F.col("document_id_b"))
@@ -140,7 +152,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            candidate_gate_reasons, cascade_verdicts, cascade_relationships, verdict_breakdown, cascade_classes, intra_document_pairs, cross_document_pairs,
+            candidate_gate_reasons, cascade_verdicts, cascade_relationships, verdict_breakdown, cascade_classes, cascade_explanations, numeric_differences, intra_document_pairs, cross_document_pairs,
             strict_order_verdicts, judge_fallback, reconcile_combined, matching_rules, comparison_pool, sibling_concepts,
         )
     }
@@ -190,6 +202,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'rel_' || a.id || '_' || b.id AS id, verdict FROM judged WHERE verdict IS NOT NULL AND ((a.late AND b.late AND a.document_id = b.document_id)
             OR (a.late <> b.late AND a.document_id IS DISTINCT FROM b.document_id))""",
         "matching_rules": "SELECT * FROM (VALUES " + ", ".join(f"({S.q(r[0])}, {S.q(r[3])})" for r in RULES if r[3]) + ") t(case_name, outcome)",
+        "cascade_explanations": f"""{S.PAIRS} SELECT 'rel_' || a.id || '_' || b.id AS id, CASE verdict
+            WHEN 'nested' THEN '''' || a.entity_name || ''' - ''' || a.concept_name || ''' over nested periods: ''' || coalesce(a.period_label, '') || ''' and ''' || coalesce(b.period_label, '') || '''.'
+            WHEN 'scope' THEN '''' || a.entity_name || ''' - ''' || a.concept_name || ''' in different reporting scopes.'
+            ELSE 'Different currencies (' || a.n_unit || ' vs ' || b.n_unit || ') without an exchange rate.' END AS explanation FROM judged WHERE verdict IN ('nested', 'scope', 'currency')""",
+        "numeric_differences": f"""{S.PAIRS} SELECT 'rel_' || a.id || '_' || b.id AS id, round(abs(a.n_amount - b.n_amount) / greatest(abs(a.n_amount), abs(b.n_amount), 1.0::DOUBLE), 6) AS relative_difference,
+            round(a.n_amount - b.n_amount, 4) > 0 AS first_is_more FROM judged WHERE verdict IS NOT NULL AND a.numeric_value AND a.n_amount IS NOT NULL AND b.n_amount IS NOT NULL""",
         "comparison_pool": f"""{S.OBSERVATIONS}, sound AS (SELECT document_id, concept_id FROM prepared WHERE NOT needs_review),
             per AS (SELECT document_id, concept_id, count(*) AS n FROM sound WHERE document_id IS NOT NULL GROUP BY ALL),
             total AS (SELECT concept_id, count(*) AS total FROM sound GROUP BY ALL)

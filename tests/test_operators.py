@@ -227,6 +227,12 @@ def test_sources(spark, tmp_path):
     back = A.read_artifacts(spark, str(tmp_path / "out"))
     assert back["chunks"].select("chunk_type").collect()[0][0] == "text" and back["relationships"].count() == 1
     assert A.catalog(spark, str(tmp_path / "out")).collect()[0]["chunks"] == 1
+    found = spark.createDataFrame([("o", "d", "E", [("d", 3, "s", "k", "q")])], "id string, document_id string, entity_name string, evidence array<struct<document_id: string, page_number: int, section: string, chunk_id: string, quote: string>>")
+    A.write_artifacts(docs, chunks, rels, str(tmp_path / "full"), found)
+    assert A.load_artifacts(spark, str(tmp_path / "full"), str(tmp_path / "store")) == 1 == A.load_artifacts(spark, str(tmp_path / "full"), str(tmp_path / "store"))
+    assert [(r["observation_id"], r["page_number"], r["quote"]) for r in spark.read.parquet(str(tmp_path / "store" / "evidence.parquet")).collect()] == [("o", 3, "q")]
+    tabled = A.read_pages(spark, str(tmp_path / "in"), lambda b: [("text ", [[["a", None], [1, 2]]])] * 70 if b[:1] == b"o" else 1 / 0).collect()
+    assert len(tabled) == 71 and tabled[0]["tables"] == ["a | \n1 | 2"] and [r["page_number"] for r in tabled if r["text"] is None] == [0]
     prompts = spark.createDataFrame([("b1", "p"), ("b2", "fail")], "batch_id string, prompt string")
 
     def call(p):
@@ -238,7 +244,15 @@ def test_sources(spark, tmp_path):
     assert A.clean_json(got["b1"]) == [{"x": 1}] and got["b2"] is None
     assert A.ask(prompts, None).where("answer is not null").count() == 0
     assert A.clean_json("```json\n[1, {\"a\": 2}]\n```") == [{"a": 2}] and A.clean_json("no") == [] and A.clean_json(None) == []
-    assert A.transient("HTTP 503")[0] and not A.transient("400")[0]
+    assert A.transient("HTTP 503")[0] and not A.transient("400")[0] and not A.transient("15000 tokens")[0]
+    asked, slept = [], []
+
+    def broken(p):
+        asked.append("a")
+        raise RuntimeError("503 busy" if len(asked) < 3 else "404")
+
+    assert A.answer_of("p", [broken, lambda p: None, lambda p: "yes"], sleep=slept.append) == "yes" and asked == ["a"] * 3 and len(slept) == 2
+    assert A.answer_of("p", [lambda p: None], sleep=slept.append) is None and len(slept) == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -110,3 +110,21 @@ def test_plan_has_equi_joins_only(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for word in ("NestedLoop", "Cartesian", "Python", "Pandas", "Arrow"):
         assert word not in plan
+
+
+def test_judge_with_a_model_and_modes(spark):
+    import json
+
+    rows = [obs("1", value_type="text", unit=None, text_value="Yes"), obs("2", value_type="text", unit=None, text_value="yes "), obs("3", value_type="text", unit=None, text_value="YES", document_id="d2")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = R.open_pairs(R.prepare(df), df.select("id", "text_value"))
+    offline = {r["id"]: (r["relationship_type"], r["confidence"]) for r in R.judged_pairs(pairs).collect()}
+    assert offline == {"rel_1_2": ("unresolved", 0.75), "rel_1_3": ("corroborated", 0.92), "rel_2_3": ("unresolved", 0.75)}
+    told = lambda p: json.dumps({"relationship_type": "contradicted" if "yes " in p else "nonsense", "confidence": 0.5, "explanation": "so", "reasons": ["r"]})
+    said = {r["id"]: (r["relationship_type"], r["explanation"]) for r in R.judged_pairs(pairs, told).collect()}
+    assert said["rel_1_2"] == ("contradicted", "[LLM Semantic Judge]: so") and said["rel_1_3"][0] == "corroborated"
+    p = R.prepare(spark.createDataFrame([obs(i, value=5.0, document_id=d) for i, d in (("1", "x"), ("2", "x"), ("3", "y"), ("4", "z"))], SCHEMA))
+    new, stored = p.where("id in ('1', '2')"), p.where("id not in ('1', '2')")
+    ids = lambda mode, **kw: sorted(r["id"] for r in R.reconcile_documents(stored, new, mode, **kw).collect())
+    assert ids("intra") == ["rel_1_2"] and ids("cross") == ["rel_1_3", "rel_1_4", "rel_2_3", "rel_2_4"] and ids("cross", targets=["z"]) == ["rel_1_4", "rel_2_4"]
+    assert ids("combined") == sorted(ids("intra") + ids("cross"))
