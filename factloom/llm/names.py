@@ -478,16 +478,17 @@ def learn(rows: DataFrame, forms: DataFrame) -> Vocabulary:
     total = forms.count()
     least = max(COMMON_FORMS, COMMON_SHARE * total)
     often = {r["w"]: r["n"] for r in every.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > least) & (F.length("w") > 1)).collect()}
+    synonyms = _synonyms(rows, total)
     if not often:
-        return Vocabulary({}, {}, {}, total, least)
+        return Vocabulary({}, synonyms, {}, total, least)
     of_these = every.where(F.col("w").isin(list(often)))
     beside = of_these.select("w", F.explode(F.array_except("words", F.array("w"))).alias("o")).groupBy("w").agg(F.countDistinct("o").alias("n"))
     common = {r["w"]: often[r["w"]] for r in beside.where(F.col("n") >= COMMON_FORMS).collect()}
+    if not common:
+        return Vocabulary({}, synonyms, {}, total, least)
     before = of_these.where(F.col("w").isin(list(common))).select("w", F.explode(F.array_distinct(F.slice("words", F.lit(1), F.array_position("words", F.col("w")).cast("int") - 1))).alias("v"))
-    own = F.lit(None).cast("long")
-    for part in [list(common.items())[k : k + 500] for k in range(0, len(common), 500)]:
-        own = F.coalesce(own, F.element_at(F.create_map(*(F.lit(x) for item in part for x in item)), F.col("w")).cast("long"))
-    follows = before.groupBy("w", "v").agg(F.count("*").alias("n")).where(F.col("n") >= TAIL_OWN * own)
+    own = forms.sparkSession.createDataFrame(list(common.items()), "w string, own long")  # as bounded as the vocabulary
+    follows = before.groupBy("w", "v").agg(F.count("*").alias("n")).join(F.broadcast(own), "w").where(F.col("n") >= TAIL_OWN * F.col("own"))
     tails: dict[str, set[str]] = {}
     for r in follows.collect():  # at most a few for each common word
         if r["v"] in common and r["n"] >= TAIL_OTHER * common[r["v"]]:
@@ -496,7 +497,7 @@ def learn(rows: DataFrame, forms: DataFrame) -> Vocabulary:
         for w in list(tails):
             if len(t) > 1 and t not in tails and abbreviates(t, w):
                 tails[t] = tails[w]
-    return Vocabulary(common, _synonyms(rows, total), {k: frozenset(v) for k, v in tails.items()}, total, least)
+    return Vocabulary(common, synonyms, {k: frozenset(v) for k, v in tails.items()}, total, least)
 
 
 def _synonyms(rows: DataFrame, total: int) -> dict[str, frozenset[str]]:
