@@ -81,6 +81,12 @@ def short_float_text(x: Column) -> Column:
     return F.when(size >= 6, exponent).otherwise(plain)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator of one row, so that what uses them, filters included, never computes them again."""
+    held = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return held.withColumns({n: F.col(f"_once.{n}") for n in columns}).drop("_once")
+
+
 def staged(df: DataFrame, *stages: dict[str, Column] | Callable[[], dict[str, Column]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns stage by stage, each of which may use the ones before, then drops all but ``keep``.
 

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions.names import canonical_concept, canonical_entity, family_roles, scope_keys, scope_match
 from factloom.functions.periods import compare_periods, fiscal_year_of, with_period
-from factloom.functions.text import is_set, norm
+from factloom.functions.text import is_set, norm, once
 from factloom.functions.units import MONEY, NUMERIC, approximately_equal, relative_difference, with_value
 from factloom.sources.artifacts import ask
+from factloom.sources.tables import Scratch
 
 # Each verdict's relationship type, confidence and reasons.
 VERDICTS = {
@@ -188,8 +189,12 @@ def gate_reasons(prepared: DataFrame) -> DataFrame:
     concepts and blocks).  A gate turns away the difference.  So no join is wider than the values that occur.
     """
     n = F.col("n").cast("double")
-    count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")) if by else df.agg(F.count("*").alias("n"))
+    rows = F.coalesce(F.sum("rows"), F.lit(0)).alias("n")
+    count = lambda df, *by: df.groupBy(*by).agg(rows) if by else df.agg(rows)
     within = lambda name, df: df.select(F.lit(name).alias("stage"), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("pairs"))
+    # all that the gates look at, counted once; what they look at one after the other is counted from that
+    looked_at = ["needs_review", "entity_id", "value_type", "numeric", "n_unit", "geo", "start", "end", "period_key", "concept_id", "concept_name", "concept_key", "label_key", "concept_code"]
+    prepared, _ = Scratch(prepared.sparkSession).cut(prepared.groupBy(*looked_at).agg(F.count("*").alias("rows")))
     sound = prepared.where("not needs_review")
     typed = ["entity_id", "value_type"]
     by_unit = [*typed, "numeric", "n_unit"]
@@ -257,14 +262,14 @@ def class_verdicts(prepared: DataFrame, strict_code_order: bool = False) -> Data
     ``links`` is the number of pairs of observations a row stands for; nothing is lost and no pair is formed
     within a class.  Observations without an entity id have none.
     """
-    c = classes(prepared)
+    c, _ = Scratch(prepared.sparkSession).cut(classes(prepared))
     between = gated_pairs(c).withColumn("links", F.col("members_a") * F.col("members_b"))
     own = c.where("members > 1 and entity_id is not null and value_type is not null and concept_key is not null")
     # joined with itself: two names for each column of one row would multiply the optimiser's constraints
     twice = _side(own, "a").join(_side(own, "b"), F.col("id_a") == F.col("id_b"))
     twice = twice.withColumns({"same_concept": F.lit(True), "period": compare_periods(*_periods_of("a"), *_periods_of("b")), "links": F.col("members_a") * (F.col("members_a") - 1) / 2})
     every = between.select(*between.columns).unionByName(twice.where("period <> 'different'").withColumn("links", F.col("links").cast("long")), allowMissingColumns=True)
-    judged = signature(every).withColumn("verdict", verdict(strict_code_order)).where("verdict is not null")
+    judged = once(signature(every), {"verdict": verdict(strict_code_order)}).where("verdict is not null")
     return judged.select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "verdict", "links")
 
 
@@ -278,7 +283,8 @@ def signature(p: DataFrame) -> DataFrame:
     raw_differs = F.coalesce("unit_a", F.lit("")) != F.coalesce("unit_b", F.lit(""))
     status_a, status_b = F.col("assertion_status_a"), F.col("assertion_status_b")
     versus = lambda x: ((status_a == "actual") & (status_b == x)) | ((status_a == x) & (status_b == "actual"))
-    return p.withColumns(
+    return once(
+        p,
         {
             "entity_match": F.lit("match"),
             "concept_match": F.when(F.col("same_concept"), "match").otherwise("related_sub_metric"),
@@ -293,7 +299,7 @@ def signature(p: DataFrame) -> DataFrame:
             .when(versus("forecast"), "actual_vs_forecast")
             .when(versus("target"), "actual_vs_target")
             .otherwise("different"),
-        }
+        },
     )
 
 
@@ -341,7 +347,7 @@ def judge(names_differ: Column, text_a: Column, text_b: Column) -> Column:
 
 def open_pairs(prepared: DataFrame, texts: DataFrame, left: DataFrame | None = None) -> DataFrame:
     """Gated pairs that the cascade leaves open, with the text values (id, text_value) of both ends."""
-    rest = signature(gated_pairs(prepared, left)).withColumn("verdict", verdict()).where("verdict is null")
+    rest = once(signature(gated_pairs(prepared, left)), {"verdict": verdict()}).where("verdict is null")
     side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text_value").alias(f"text_{s}"))
     return rest.join(side("a"), "id_a", "left").join(side("b"), "id_b", "left")
 
@@ -399,7 +405,7 @@ def reconcile(
     Quarantined observations take part in none; each pair comes out at most once.  Null keys match nothing.
     An empty input gives an empty result.
     """
-    pairs = signature(gated_pairs(prepared, left, keep, by_names)).withColumn("verdict", verdict(strict_code_order)).where("verdict is not null")
+    pairs = once(signature(gated_pairs(prepared, left, keep, by_names)), {"verdict": verdict(strict_code_order)}).where("verdict is not null")
     table = F.create_map(
         *[
             x

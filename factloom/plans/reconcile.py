@@ -9,12 +9,14 @@ from factloom.functions.names import CONCEPT_NAMES, canonical_concept
 from factloom.operators import reconcile as R
 from factloom.plans import sql as S
 from factloom.plans.views import MONTH_START
-from factloom.sources.tables import read_table
+from factloom.sources.tables import Scratch, read_table
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """The observations as the gate and the cascade need them, written once: both sides of a pair read them."""
     obs = R.latest(read_table(spark, folder, "observations"))
-    return R.prepare(R.with_names(obs, read_table(spark, folder, "entities"), read_table(spark, folder, "concepts")))
+    ready, _ = Scratch(spark).cut(R.prepare(R.with_names(obs, read_table(spark, folder, "entities"), read_table(spark, folder, "concepts"))))
+    return ready
 
 
 def candidate_gate_reasons(spark: SparkSession, folder: str) -> DataFrame:
