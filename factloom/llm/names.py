@@ -534,7 +534,9 @@ def _candidates(forms: DataFrame, known: Vocabulary) -> DataFrame:
                 numbers = [pa.array(c, pa.int64()).take(places) for c in zip(*sketches, strict=True)]
                 yield pa.RecordBatch.from_arrays([column.take(places), pa.array(sides, pa.int8()), pa.array(keys, pa.string()), *numbers], names=schema.names)
 
-    filed = forms.mapInArrow(file, schema)
+    # a form becomes some sixty rows: spread first what adaptive execution has put together
+    tasks = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = forms.repartition(tasks).mapInArrow(file, schema)
     numbers = F.array_join(F.filter(F.split("form", " "), lambda t: t.startswith("#")), " ")
     group = F.when(F.col("side") < 2, 0).otherwise(1)
     filed = filed.select(F.xxhash64(group, "key", numbers).alias("key"), F.xxhash64("form").alias("form"), "side", "every", "fixed", "size")
