@@ -12,10 +12,15 @@ from factloom.plans.views import MONTH_START
 from factloom.sources.tables import Scratch, read_table
 
 
-def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    """The observations as the gate and the cascade need them, written once: both sides of a pair read them."""
+def _ready(spark: SparkSession, folder: str) -> DataFrame:
+    """The observations as the gate and the cascade need them."""
     obs = R.latest(read_table(spark, folder, "observations"))
-    ready, _ = Scratch(spark).cut(R.prepare(R.with_names(obs, read_table(spark, folder, "entities"), read_table(spark, folder, "concepts"))))
+    return R.prepare(R.with_names(obs, read_table(spark, folder, "entities"), read_table(spark, folder, "concepts")))
+
+
+def prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once: both sides of a pair read them."""
+    ready, _ = Scratch(spark).cut(_ready(spark, folder))
     return ready
 
 
@@ -48,12 +53,7 @@ def verdict_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def cascade_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of observations that agree in all the cascade looks at: members and links of each."""
-    p = prepared(spark, folder)
-    members = R.class_members(p).groupBy("class_id").agg(F.count("*").alias("members"))
-    links = R.class_verdicts(p)
-    ends = links.select(F.col("class_a").alias("class_id"), "links").union(links.where("class_a <> class_b").select("class_b", "links"))
-    joined = members.join(ends.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
-    return joined.select("class_id", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return R.class_links(_ready(spark, folder))
 
 
 def cascade_explanations(spark: SparkSession, folder: str) -> DataFrame:

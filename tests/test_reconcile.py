@@ -128,3 +128,22 @@ def test_judge_with_a_model_and_modes(spark):
     ids = lambda mode, **kw: sorted(r["id"] for r in R.reconcile_documents(stored, new, mode, **kw).collect())
     assert ids("intra") == ["rel_1_2"] and ids("cross") == ["rel_1_3", "rel_1_4", "rel_2_3", "rel_2_4"] and ids("cross", targets=["z"]) == ["rel_1_4", "rel_2_4"]
     assert ids("combined") == sorted(ids("intra") + ids("cross"))
+
+
+def test_class_links_count_pairs_in_small_plans(spark):
+    """Links against the pairs themselves, with classes that differ in amount, unit or status alone; the plan joins related concepts as written."""
+    import collections
+    import random
+
+    r = random.Random(5)
+    pick = lambda: dict(value=r.choice([None, 1.0, 2.0]), unit=r.choice(["%", "percent", None]), assertion_status=r.choice(["actual", "forecast", None]), entity_id=r.choice(["e", "f", None]), geography=r.choice([None, "A", "B"]), period_label=r.choice(["FY24", "H1 FY24", None]), period_type="custom", needs_review=r.random() < 0.1, concept_name=r.choice(["real gdp growth", "growth in services gva"]))
+    p = R.prepare(spark.createDataFrame([obs(f"{n:03d}", **pick()) for n in range(150)], SCHEMA)).cache()
+    of = {x["id"]: x["class_id"] for x in R.class_members(p).collect()}
+    want = collections.Counter()
+    for x in R.reconcile(p).collect():
+        want.update({of[x["observation_a"]], of[x["observation_b"]]})
+    found = R.class_links(p)
+    got = {x["class_id"]: (x["members"], x["links"]) for x in found.collect()}
+    assert got == {c: (n, want[c]) for c, n in collections.Counter(of.values()).items()} and max(want.values()) > 10
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 3
