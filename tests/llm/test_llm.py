@@ -168,6 +168,32 @@ def test_all_accepted_slips_are_candidates(spark):
     assert got == want
 
 
+def test_forms_with_strays_are_rejected_before_aligning(monkeypatch):
+    """Rows of unlike names that mistype one common word alike are candidates, whose number grows fastest with the table."""
+    known = names.Vocabulary({"industries": 900, "steel": 500, "mills": 300, "paper": 250}, {"inds": frozenset({"industries"})}, {"mills": frozenset({"paper"})}, 10_000, 20.0)
+    calls = []
+    aligned = names.edits
+    monkeypatch.setattr(names, "edits", lambda *a: calls.append(a) or aligned(*a))
+    assert names.Matcher(known)("kepfef jetbinkig industtries", "firduk jusdifpav industrires") == (0.0, 0) and not calls
+    whole = names.Matcher(known)
+    monkeypatch.setattr(whole, "strays", lambda *a: False)
+    r = random.Random(11)
+    parts = ["kep", "fef", "jet", "bin", "kig", "sud"]
+    words = [a + b + c for a in parts for b in parts for c in ("", "zon")] + ["industries", "steel", "mills", "paper", "inds", "k", "j", "kj", "jbk", "bob", "robert", "jenifer"]
+    slip = lambda w: w if r.random() < 0.6 or len(w) < 4 else w[: (n := r.randrange(len(w)))] + r.choice(["", "x"]) + w[n + 1 :]
+    match, found = names.Matcher(known), 0
+    for _ in range(4000):
+        x = [r.choice(words) for _ in range(r.randint(1, 4))]
+        y = [r.choice(words) if r.random() < 0.3 else w for w in x]
+        if r.random() < 0.2:
+            y = ["".join(y[:2]), *y[2:]]
+        r.shuffle(y)
+        x, y = (" ".join(map(slip, z)) for z in (x, y))
+        assert match(x, y) == whole(x, y), (x, y)
+        found += match(x, y)[0] > 0
+    assert found > 300
+
+
 def test_short_names_match_exactly(spark):
     same = [["TCS Limited", "TCS Ltd.", "T.C.S. Ltd"], ["ITC Ltd", "itc limited"], ["HCL Technologies Ltd", "HCL Tech. Ltd"], ["HLC Technologies Ltd"], ["Amit Rao", "Rao, Amit", "A. Rao"], ["Wei Li", "Wei Li"], ["Wei Lu"], ["UCO Bank", "UCO Bank"], ["L & T Ltd", "L&T Limited"]]
     rows = [(f"{g:02d}-{n}", v, None) for g, x in enumerate(same) for n, v in enumerate(x)] + [(f"z{n}", v, None) for n, v in enumerate(["our Company", "our Company", "K. Ltd", "K. Ltd", "the Bank", "the Bank"])]
